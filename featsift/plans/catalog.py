@@ -98,3 +98,222 @@ def q_topk_anova(spark, sf):
     """T4: the 2,000 best tokens by F (best first)."""
     sel = SE.select_top_k(SC.anova_f(T.token_matrix(spark, sf)), 2000, "f_score", "rank")
     return sel.select("feature_id", r6("f_score").alias("f_score"), "rank", "new_index")
+
+
+# ---------------------------------------------------------------- projections
+
+
+@query(
+    "prefix_features",
+    O.with_(O.TOKENS)
+    + """SELECT row_id, feature_id, value FROM entries
+WHERE feature_id <= (SELECT max(feature_id) FROM (SELECT feature_id FROM cols ORDER BY feature_id LIMIT 10000))""",
+)
+def q_prefix_features(spark, sf):
+    """The first 10,000 columns (column order = token order)."""
+    return MX.prefix_features(T.token_matrix(spark, sf), 10_000).entries.select("row_id", "feature_id", "value")
+
+
+@query(
+    "drop_constant_features",
+    O.with_(O.TOKENS, O.MOMENTS)
+    + "SELECT e.row_id, e.feature_id, e.value FROM entries e WHERE e.feature_id NOT IN (SELECT feature_id FROM mom WHERE std = 0)",
+)
+def q_drop_constant_features(spark, sf):
+    """P3 after A3: delete the zero-std columns of the train matrix."""
+    m = T.token_matrix(spark, sf)
+    const = ST.constant_features_by_std(m)
+    return MX.drop_features(m, const).entries.select("row_id", "feature_id", "value")
+
+
+# ---------------------------------------------------------------- per-column statistics
+
+
+@query("feature_std", O.with_(O.TOKENS, O.MOMENTS) + "SELECT feature_id, round(std, 6) AS std FROM mom")
+def q_feature_std(spark, sf):
+    """A1: population std of every token column (all-zero columns included)."""
+    return ST.feature_std(T.token_matrix(spark, sf)).select("feature_id", r6("std").alias("std"))
+
+
+@query("feature_variance", O.with_(O.EMBEDDINGS, O.MOMENTS) + "SELECT feature_id, round(var, 6) AS var FROM mom")
+def q_feature_variance(spark, sf):
+    """A2: population variance of every embedding dimension."""
+    return ST.feature_variance(T.embedding_matrix(spark, sf)).select("feature_id", r6("var").alias("var"))
+
+
+@query("nonconstant_features", O.with_(O.TOKENS, O.MOMENTS) + "SELECT feature_id FROM mom WHERE std > 0")
+def q_nonconstant_features(spark, sf):
+    """A3: kept columns, std > 0."""
+    return ST.nonconstant_features(T.token_matrix(spark, sf), 0.0)
+
+
+@query(
+    "constant_by_value",
+    O.with_(O.TOKENS, O.MOMENTS) + "SELECT feature_id, min = max AS is_constant FROM mom",
+)
+def q_constant_by_value(spark, sf):
+    """A4: exact constancy per column, zero-aware."""
+    return ST.constant_by_value(T.token_matrix(spark, sf))
+
+
+@query(
+    "constant_count",
+    O.with_(O.TOKENS, O.MOMENTS)
+    + "SELECT CAST(count_if(std = 0) AS BIGINT) AS n_constant, count(*) AS n_columns FROM mom",
+)
+def q_constant_count(spark, sf):
+    """A5: number of zero-std columns."""
+    return ST.constant_count(T.token_matrix(spark, sf))
+
+
+@query("negative_columns", O.with_(O.EMBEDDINGS, O.MOMENTS) + "SELECT feature_id, any_negative AS has_negative FROM mom")
+def q_negative_columns(spark, sf):
+    """Per embedding dimension, whether a value is negative."""
+    return ST.negative_columns(T.embedding_matrix(spark, sf))
+
+
+@query(
+    "negative_column_count",
+    O.with_(O.EMBEDDINGS) + "SELECT count(DISTINCT feature_id) AS n_negative_columns FROM entries WHERE value < 0",
+)
+def q_negative_column_count(spark, sf):
+    """Number of columns with a negative value."""
+    return ST.negative_column_count(T.embedding_matrix(spark, sf))
+
+
+@query(
+    "scaler_fit",
+    O.with_(O.EMBEDDINGS, O.MOMENTS) + "SELECT feature_id, round(mean, 6) AS mean, round(std, 6) AS std FROM mom",
+)
+def q_scaler_fit(spark, sf):
+    """Per-column mean and population std."""
+    fit = ST.scaler_fit(T.embedding_matrix(spark, sf))
+    return fit.select("feature_id", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+# ---------------------------------------------------------------- scores and top-k
+
+
+@query("chi2_score", O.with_(O.TOKENS, O.CHI2) + "SELECT feature_id, round(chi2, 6) AS chi2 FROM chi")
+def q_chi2_score(spark, sf):
+    """A10: chi-square score of each token column against ``toxic``."""
+    return SC.chi2_score(T.token_matrix(spark, sf)).select("feature_id", r6("chi2").alias("chi2"))
+
+
+_TOP_CHI = """, ranked AS (
+  SELECT feature_id, chi2, row_number() OVER (ORDER BY chi2 DESC NULLS LAST, feature_id ASC) AS rank FROM chi),
+best AS (SELECT feature_id, chi2, rank FROM ranked WHERE rank <= 5000),
+sel AS (SELECT feature_id, chi2, rank, row_number() OVER (ORDER BY feature_id) - 1 AS new_index FROM best)
+"""
+
+
+@query(
+    "selectkbest_chi2",
+    O.with_(O.TOKENS, O.CHI2) + _TOP_CHI + "SELECT feature_id, round(chi2, 6) AS chi2, rank, new_index FROM sel",
+)
+def q_selectkbest_chi2(spark, sf):
+    """T5: the 5,000 best tokens by chi2, kept in column order."""
+    sel = SE.select_k_best(T.token_matrix(spark, sf), 5000, "chi2", "original")
+    return sel.select("feature_id", r6("score").alias("chi2"), "rank", "new_index")
+
+
+@query(
+    "selected_head_tail",
+    O.with_(O.TOKENS, O.CHI2)
+    + _TOP_CHI
+    + """, pos AS (SELECT feature_id, new_index + 1 AS position FROM sel)
+SELECT feature_id, position FROM pos WHERE position <= 10 OR position > (SELECT count(*) FROM sel) - 10""",
+)
+def q_selected_head_tail(spark, sf):
+    """First and last ten selected ids (ascending)."""
+    sel = SE.select_k_best(T.token_matrix(spark, sf), 5000, "chi2", "original")
+    return SE.selected_head_tail(sel, 10)
+
+
+@query(
+    "chi2_report",
+    O.with_(O.TOKENS, O.CHI2)
+    + """, ranked AS (
+  SELECT feature_id, chi2, row_number() OVER (ORDER BY chi2 DESC NULLS LAST, feature_id ASC) AS rank FROM chi)
+SELECT feature_id, round(chi2, 6) AS chi2, rank FROM ranked WHERE rank <= 5""",
+)
+def q_chi2_report(spark, sf):
+    """The five best chi2 scores (NaN never first)."""
+    rep = SE.ranked_report(SC.chi2_score(T.token_matrix(spark, sf)), 5, "chi2")
+    return rep.select("feature_id", r6("chi2").alias("chi2"), "rank")
+
+
+@query(
+    "anova_top20",
+    O.with_(O.TOKENS, O.ANOVA)
+    + """, ranked AS (
+  SELECT feature_id, f_score, row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature_id ASC) AS rank FROM anova)
+SELECT feature_id, round(f_score, 6) AS f_score, rank FROM ranked WHERE rank <= 20""",
+)
+def q_anova_top20(spark, sf):
+    """The twenty best F scores (data of the bar chart)."""
+    rep = SE.ranked_report(SC.anova_f(T.token_matrix(spark, sf)), 20, "f_score")
+    return rep.select("feature_id", r6("f_score").alias("f_score"), "rank")
+
+
+@query(
+    "topk_variance",
+    O.with_(O.TOKENS, O.MOMENTS)
+    + """, ranked AS (
+  SELECT feature_id, var, row_number() OVER (ORDER BY var DESC NULLS LAST, feature_id ASC) AS rank FROM mom),
+best AS (SELECT * FROM ranked WHERE rank <= 20000)
+SELECT feature_id, round(var, 6) AS var, rank, (SELECT count(*) FROM best) - rank AS new_index FROM best""",
+)
+def q_topk_variance(spark, sf):
+    """The 20,000 highest-variance columns, laid out in ascending variance."""
+    m = T.token_matrix(spark, sf)
+    sel = SE.select_top_k(ST.feature_variance(m), 20_000, "var", "ascending")
+    return sel.select("feature_id", r6("var").alias("var"), "rank", "new_index")
+
+
+@query(
+    "topk_std",
+    O.with_(O.TOKENS, O.MOMENTS)
+    + """, ranked AS (
+  SELECT feature_id, std, row_number() OVER (ORDER BY std DESC NULLS LAST, feature_id ASC) AS rank FROM mom)
+SELECT feature_id, round(std, 6) AS std, rank, rank - 1 AS new_index FROM ranked WHERE rank <= 10000""",
+)
+def q_topk_std(spark, sf):
+    """The 10,000 highest-std columns, best first."""
+    sel = SE.select_top_k(ST.feature_std(T.token_matrix(spark, sf)), 10_000, "std", "rank")
+    return sel.select("feature_id", r6("std").alias("std"), "rank", "new_index")
+
+
+@query("anova_pvalue")
+def q_anova_pvalue(spark, sf):
+    """A9 (rows-only): F and its p value per embedding dimension."""
+    t = SC.anova_pvalue(T.embedding_matrix(spark, sf))
+    return t.select("feature_id", r6("f_score").alias("f_score"), r6("p_value").alias("p_value"))
+
+
+@query("chi2_pvalue")
+def q_chi2_pvalue(spark, sf):
+    """A11 (rows-only): chi2 and its p value per token column."""
+    t = SC.chi2_pvalue_table(T.token_matrix(spark, sf))
+    return t.select("feature_id", r6("chi2").alias("chi2"), r6("p_value").alias("p_value"))
+
+
+@query(
+    "gather_selected",
+    O.with_(O.TOKENS, O.CHI2)
+    + """, ranked AS (
+  SELECT feature_id, row_number() OVER (ORDER BY chi2 DESC NULLS LAST, feature_id ASC) AS rank FROM chi),
+sel AS (SELECT feature_id, rank - 1 AS new_index FROM ranked WHERE rank <= 1000),
+test AS (
+  SELECT DISTINCT d.doc_id AS row_id, tok AS feature_id
+  FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS tok
+        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) d
+  WHERE tok <> '')
+SELECT t.row_id, t.feature_id, s.new_index, CAST(1.0 AS DOUBLE) AS value FROM test t JOIN sel s ON t.feature_id = s.feature_id""",
+)
+def q_gather_selected(spark, sf):
+    """The 1,000 best chi2 columns fitted on train, replayed on the test rows."""
+    train = T.token_matrix(spark, sf)
+    sel = SE.select_top_k(SC.chi2_score(train), 1000, "chi2", "rank")
+    test = T.token_matrix(spark, sf, part="unlabelled", with_columns=False)
+    return MX.gather(test, sel, bound_rows=1000).entries.select("row_id", "feature_id", "new_index", "value")
