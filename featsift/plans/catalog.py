@@ -317,3 +317,447 @@ def q_gather_selected(spark, sf):
     sel = SE.select_top_k(SC.chi2_score(train), 1000, "chi2", "rank")
     test = T.token_matrix(spark, sf, part="unlabelled", with_columns=False)
     return MX.gather(test, sel, bound_rows=1000).entries.select("row_id", "feature_id", "new_index", "value")
+
+
+# ---------------------------------------------------------------- metadata and encoding
+
+from featsift.functions.exprs import MISSING, threshold  # noqa: E402
+from featsift.operators import encode as EN  # noqa: E402
+from featsift.operators import fuse as FU  # noqa: E402
+from featsift.operators import metrics as ME  # noqa: E402
+from featsift.operators import scale as SCL  # noqa: E402
+from featsift.operators import split as SP  # noqa: E402
+from featsift.operators.ranking import sequence_by  # noqa: E402
+
+META_COLS = ["lang", "source"]
+ORDER_COLS = ["o_orderstatus", "o_orderpriority"]
+
+
+def raw_order_metadata(spark, sf) -> DataFrame:
+    """A metadata frame shaped like the reference's CSV: an id, two columns to
+    drop, a blank-header column, and the categorical columns (with nulls)."""
+    o = T.table(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("ID"),
+        F.col("o_custkey").cast("string").alias("Organism group"),
+        F.col("o_orderdate").alias("Create date"),
+        F.col("o_totalprice").alias("Unnamed: 0"),
+        "o_orderstatus",
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+
+
+_OM_OUT = O.with_(O.ORDMETA) + "SELECT ID, o_orderstatus, o_orderpriority FROM om"
+
+
+@query("metadata_clean", _OM_OUT)
+def q_metadata_clean(spark, sf):
+    """Drop named and blank-header columns, keep the key."""
+    return EN.clean_metadata(raw_order_metadata(spark, sf))
+
+
+@query("metadata_scan", _OM_OUT)
+def q_metadata_scan(spark, sf):
+    """The metadata frame written as CSV (nulls as the token ``NA``) into the
+    shared scratch folder, read back with a header and the NA tokens normalised."""
+    from featsift.session import scratch_path
+    from featsift.sources.metadata import read_metadata_csv
+
+    raw = raw_order_metadata(spark, sf).withColumn("o_orderpriority", F.coalesce("o_orderpriority", F.lit("NA")))
+    path = scratch_path(spark, "metadata-csv")
+    raw.write.option("header", True).csv(path)
+    df = read_metadata_csv(spark, path, key="ID", key_type="bigint")
+    return EN.clean_metadata(df)
+
+
+@query(
+    "fill_missing", O.with_(O.ORDMETA) + "SELECT ID, o_orderstatus, o_orderpriority FROM omf"
+)
+def q_fill_missing(spark, sf):
+    """Nulls become 'Missing'."""
+    return EN.fill_missing(EN.clean_metadata(raw_order_metadata(spark, sf)), ORDER_COLS, MISSING)
+
+
+_OM_COUNTS = """, ol AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM omf
+            UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM omf),
+oc AS (SELECT "column", value, count(*) AS n FROM ol WHERE value IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+@query("category_counts", O.with_(O.ORDMETA) + _OM_COUNTS + 'SELECT "column", value, n FROM oc')
+def q_category_counts(spark, sf):
+    """Value counts of the filled categorical columns."""
+    filled = EN.fill_missing(EN.clean_metadata(raw_order_metadata(spark, sf)), ORDER_COLS)
+    return ST.category_counts(filled, ORDER_COLS)
+
+
+@query(
+    "top_categories",
+    O.with_(O.ORDMETA)
+    + _OM_COUNTS
+    + """SELECT "column", value, n, rank FROM (SELECT "column", value, n,
+   row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC) AS rank FROM oc) WHERE rank <= 2""",
+)
+def q_top_categories(spark, sf):
+    """The two most frequent values per column ('Missing' may be one)."""
+    filled = EN.fill_missing(EN.clean_metadata(raw_order_metadata(spark, sf)), ORDER_COLS)
+    return EN.fit_top_categories(filled, ORDER_COLS, 2)
+
+
+@query(
+    "collapse_rare",
+    O.with_(O.DOCMETA, O.DOC_TOP2)
+    + """SELECT ID,
+  CASE WHEN lang IN (SELECT value FROM top2 WHERE "column" = 'lang') THEN lang ELSE 'Other' END AS lang,
+  CASE WHEN source IN (SELECT value FROM top2 WHERE "column" = 'source') THEN source ELSE 'Other' END AS source
+FROM tem""",
+)
+def q_collapse_rare(spark, sf):
+    """Top-2 per column fitted on train documents, applied to the test documents."""
+    train = T.document_metadata(spark, sf, "labelled")
+    test = T.document_metadata(spark, sf, "unlabelled")
+    return EN.collapse_rare(test, META_COLS, EN.fit_top_categories(train, META_COLS, 2)).select("ID", *META_COLS)
+
+
+@query(
+    "collapse_rare_refit",
+    O.with_(O.DOCMETA, O.DOC_TOP2)
+    + """, trc1 AS (SELECT ID,
+  CASE WHEN lang IN (SELECT value FROM top2 WHERE "column" = 'lang') THEN lang ELSE 'Other' END AS lang,
+  CASE WHEN source IN (SELECT value FROM top2 WHERE "column" = 'source') THEN source ELSE 'Other' END AS source
+  FROM trm),
+l2 AS (SELECT 'lang' AS "column", lang AS value FROM trc1 UNION ALL SELECT 'source', source FROM trc1),
+c2 AS (SELECT "column", value, count(*) AS n FROM l2 GROUP BY 1, 2),
+t2 AS (SELECT * FROM (SELECT "column", value, n,
+   row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC) AS rank FROM c2) WHERE rank <= 2)
+SELECT ID,
+  CASE WHEN lang IN (SELECT value FROM t2 WHERE "column" = 'lang') THEN lang ELSE 'Other' END AS lang,
+  CASE WHEN source IN (SELECT value FROM t2 WHERE "column" = 'source') THEN source ELSE 'Other' END AS source
+FROM tem""",
+)
+def q_collapse_rare_refit(spark, sf):
+    """Test list refitted on the collapsed train."""
+    train = T.document_metadata(spark, sf, "labelled")
+    test = T.document_metadata(spark, sf, "unlabelled")
+    _, test_c = EN.collapse_rare_refit(train, test, META_COLS, 2)
+    return test_c.select("ID", *META_COLS)
+
+
+_ONEHOT_TRAIN = """
+oh_tr AS (SELECT ID AS row_id, 'lang_' || lang AS feature_id FROM trm WHERE lang IS NOT NULL
+          UNION ALL SELECT ID, 'source_' || source FROM trm WHERE source IS NOT NULL),
+oh_te AS (SELECT ID AS row_id, 'lang_' || lang AS feature_id FROM tem WHERE lang IS NOT NULL
+          UNION ALL SELECT ID, 'source_' || source FROM tem WHERE source IS NOT NULL)"""
+
+
+@query(
+    "one_hot",
+    O.with_(O.DOCMETA, _ONEHOT_TRAIN) + "SELECT row_id, feature_id, CAST(1.0 AS DOUBLE) AS value FROM oh_tr",
+)
+def q_one_hot(spark, sf):
+    """One-hot (no level dropped) of the train documents' lang and source, long form."""
+    return EN.one_hot_long(T.document_metadata(spark, sf, "labelled"), META_COLS)
+
+
+@query(
+    "align_outer",
+    O.with_(O.DOCMETA, _ONEHOT_TRAIN)
+    + """, a AS (SELECT DISTINCT feature_id FROM oh_tr), b AS (SELECT DISTINCT feature_id FROM oh_te)
+SELECT coalesce(a.feature_id, b.feature_id) AS feature_id, a.feature_id IS NOT NULL AS in_train,
+       b.feature_id IS NOT NULL AS in_test FROM a FULL OUTER JOIN b ON a.feature_id = b.feature_id""",
+)
+def q_align_outer(spark, sf):
+    """Outer alignment of the train and test dummy columns."""
+    tr = EN.dummy_dictionary(T.document_metadata(spark, sf, "labelled"), META_COLS)
+    te = EN.dummy_dictionary(T.document_metadata(spark, sf, "unlabelled"), META_COLS)
+    return EN.align_outer(tr, te)
+
+
+@query(
+    "align_to_train",
+    O.with_(O.DOCMETA, _ONEHOT_TRAIN)
+    + """SELECT row_id, feature_id, CAST(1.0 AS DOUBLE) AS value FROM oh_te
+WHERE feature_id IN (SELECT feature_id FROM oh_tr)""",
+)
+def q_align_to_train(spark, sf):
+    """Test dummies reindexed to the train columns (test-only columns dropped)."""
+    train = T.document_metadata(spark, sf, "labelled")
+    test = T.document_metadata(spark, sf, "unlabelled")
+    return EN.align_to_train(EN.one_hot_long(test, META_COLS), EN.dummy_dictionary(train, META_COLS)).select(
+        "row_id", "feature_id", "value"
+    )
+
+
+@query(
+    "target_stats",
+    O.with_(O.DOCMETA, O.DOC_TARGET)
+    + 'SELECT "column", value, n, round(y_sum, 6) AS y_sum, round(y_mean, 6) AS y_mean, round(prior, 6) AS prior FROM ts',
+)
+def q_target_stats(spark, sf):
+    """Per category count and label mean, with the prior."""
+    st = ST.target_stats(T.document_metadata(spark, sf, "labelled"), META_COLS)
+    return st.select("column", "value", "n", *[r6(c).alias(c) for c in ("y_sum", "y_mean", "prior")])
+
+
+def _te_sql(enc: str) -> str:
+    return (
+        O.with_(O.DOCMETA, O.DOC_TARGET)
+        + f""", enc AS (SELECT "column", value, {enc} AS encoding FROM ts)
+SELECT t.ID,
+  round(coalesce(el.encoding, (SELECT prior FROM pr)), 6) AS lang,
+  round(coalesce(es.encoding, (SELECT prior FROM pr)), 6) AS source
+FROM tem t
+LEFT JOIN enc el ON el."column" = 'lang' AND el.value = t.lang
+LEFT JOIN enc es ON es."column" = 'source' AND es.value = t.source"""
+    )
+
+
+_SIGMOID = (
+    "CASE WHEN n = 1 THEN prior ELSE prior * (1.0 - 1.0 / (1.0 + exp(-(CAST(n AS DOUBLE) - 20.0) / 10.0)))"
+    " + y_mean * (1.0 / (1.0 + exp(-(CAST(n AS DOUBLE) - 20.0) / 10.0))) END"
+)
+
+
+@query("target_encode", _te_sql(_SIGMOID))
+def q_target_encode(spark, sf):
+    """Sigmoid-smoothed target encoding (smoothing 10, leaf 20) fitted on
+    train documents, applied to test documents; unseen -> prior."""
+    train = T.document_metadata(spark, sf, "labelled")
+    test = T.document_metadata(spark, sf, "unlabelled")
+    fit = EN.fit_target_encoder(train, META_COLS, weighting="sigmoid", smoothing=10.0, min_samples_leaf=20)
+    out = EN.apply_target_encoder(test, META_COLS, fit)
+    return out.select("ID", *[r6(c).alias(c) for c in META_COLS])
+
+
+@query("target_encode_count", _te_sql("(y_sum + 10.0 * prior) / (CAST(n AS DOUBLE) + 10.0)"))
+def q_target_encode_count(spark, sf):
+    """E4 (count weighting, Spark's TargetEncoder form): (Σy + 10·prior)/(n + 10)."""
+    train = T.document_metadata(spark, sf, "labelled")
+    test = T.document_metadata(spark, sf, "unlabelled")
+    fit = EN.fit_target_encoder(train, META_COLS, weighting="count", smoothing=10.0)
+    out = EN.apply_target_encoder(test, META_COLS, fit)
+    return out.select("ID", *[r6(c).alias(c) for c in META_COLS])
+
+
+# ---------------------------------------------------------------- scaling, weighting, fusion
+
+
+@query(
+    "standardize",
+    O.with_(O.EMBEDDINGS, O.MOMENTS)
+    + """SELECT e.row_id, e.feature_id,
+  round((e.value - m.mean) / (CASE WHEN m.std = 0 THEN 1.0 ELSE m.std END), 6) AS value
+FROM entries e JOIN mom m ON e.feature_id = m.feature_id""",
+)
+def q_standardize(spark, sf):
+    """E5: (x - mean) / std on the dense embedding matrix (population std)."""
+    m = T.embedding_matrix(spark, sf)
+    z = SCL.standardize_entries(m, ST.scaler_fit(m), bound_rows=64)
+    return z.entries.select("row_id", "feature_id", r6("value").alias("value"))
+
+
+_FUSE_SQL = (
+    O.with_(O.TOKENS, O.CHI2, O.DOCMETA)
+    + """, ranked AS (
+  SELECT feature_id, row_number() OVER (ORDER BY chi2 DESC NULLS LAST, feature_id ASC) AS rank FROM chi),
+sel AS (SELECT feature_id FROM ranked WHERE rank <= 100),
+tokb AS (SELECT e.row_id, 'tok:' || e.feature_id AS feature_id, e.value FROM entries e JOIN sel s ON e.feature_id = s.feature_id),
+metab AS (SELECT ID AS row_id, 'meta:lang_' || lang AS feature_id, CAST(1.0 AS DOUBLE) AS value FROM trm
+          UNION ALL SELECT ID, 'meta:source_' || source, CAST(1.0 AS DOUBLE) FROM trm),
+nmeta AS (SELECT CAST(count(DISTINCT feature_id) AS DOUBLE) AS k FROM metab)
+"""
+)
+
+
+def _fused(spark, sf, weights: bool):
+    train = T.token_matrix(spark, sf)
+    sel = SE.select_top_k(SC.chi2_score(train), 100, "chi2", "rank")
+    tok = MX.gather(train, sel, bound_rows=100)
+    meta_df = T.document_metadata(spark, sf, "labelled")
+    meta = MX.WideMatrix(
+        entries=EN.one_hot_long(meta_df, META_COLS), rows=meta_df.select(F.col("ID").alias("row_id"), "label")
+    )
+    if weights:
+        n_meta = EN.dummy_dictionary(meta_df, META_COLS).count()
+        tok = SCL.weight_block(tok, 0.7, 100)
+        meta = SCL.weight_block(meta, 0.3, n_meta)
+    return FU.fuse_long({"tok": tok, "meta": meta}, "inner")
+
+
+@query("fuse_blocks", _FUSE_SQL + "SELECT * FROM tokb UNION ALL SELECT * FROM metab")
+def q_fuse_blocks(spark, sf):
+    """Token block (top-100 chi2) and one-hot metadata block side by side, by row id."""
+    return _fused(spark, sf, False).entries.select("row_id", "feature_id", "value")
+
+
+@query(
+    "weight_blocks",
+    _FUSE_SQL
+    + """SELECT row_id, feature_id, round(value * 0.7 / 100.0, 6) AS value FROM tokb
+UNION ALL SELECT row_id, feature_id, round(value * 0.3 / (SELECT k FROM nmeta), 6) FROM metab""",
+)
+def q_weight_blocks(spark, sf):
+    """Block weights 0.7 (tokens) and 0.3 (metadata), each over its column count."""
+    f = _fused(spark, sf, True)
+    return f.entries.select("row_id", "feature_id", r6("value").alias("value"))
+
+
+# ---------------------------------------------------------------- row ranges, chunks, splits
+
+_TEST_RANK = """
+te AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY doc_id) AS pos
+       FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+
+
+@query("row_range", O.with_(_TEST_RANK) + "SELECT row_id FROM te WHERE pos > 100 AND pos <= 300")
+def q_row_range(spark, sf):
+    """P10: test rows at positions [100, 300) in id order."""
+    rows = T.token_matrix(spark, sf, part="unlabelled", with_columns=False).rows
+    return MX.row_range(rows, 100, 300)
+
+
+@query("union_chunks", O.with_(_TEST_RANK) + "SELECT row_id, CAST((pos - 1) // 250 AS BIGINT) AS chunk FROM te")
+def q_union_chunks(spark, sf):
+    """The test rows cut into chunks of 250 (id order) and appended back."""
+    rows = T.token_matrix(spark, sf, part="unlabelled", with_columns=False).rows
+    ranked = sequence_by(rows, ["row_id"], "pos")
+    n = ranked.count()
+    chunks = [
+        ranked.where((F.col("pos") > s) & (F.col("pos") <= s + 250)).select("row_id", F.lit(s // 250).cast("long").alias("chunk"))
+        for s in range(0, n, 250)
+    ]
+    return FU.union_chunks(chunks)
+
+
+_SPLIT_BASE = """
+lr AS (SELECT doc_id AS row_id, CAST(toxic AS INTEGER) AS label,
+              md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM labels)"""
+
+
+@query(
+    "split_random",
+    O.with_(_SPLIT_BASE)
+    + """, r AS (SELECT row_id, row_number() OVER (ORDER BY h, row_id) AS rn FROM lr)
+SELECT row_id, CASE WHEN rn <= CAST(ceil(0.15 * (SELECT count(*) FROM lr)) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM r""",
+)
+def q_split_random(spark, sf):
+    """K1: exact 85/15 hold-out of the labelled rows, seed 42."""
+    rows = T.token_matrix(spark, sf, with_columns=False).rows.select("row_id")
+    return SP.split_random(rows, 0.15, 42)
+
+
+def _strat_sql(frac: str, src: str, names: tuple[str, str]) -> str:
+    return f"""
+cc_{names[1]} AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+nn_{names[1]} AS (SELECT sum(n_c) AS n, CAST(ceil({frac} * sum(n_c)) AS BIGINT) AS n_test FROM cc_{names[1]}),
+q0_{names[1]} AS (SELECT c.label, c.n_c, (nn.n - nn.n_test) * c.n_c // nn.n AS base,
+            (nn.n - nn.n_test) * c.n_c % nn.n AS rem, nn.n - nn.n_test AS n_train
+     FROM cc_{names[1]} c, nn_{names[1]} nn),
+q1_{names[1]} AS (SELECT label, n_c, base, rem, n_train, row_number() OVER (ORDER BY rem DESC, label) AS rr,
+            n_train - sum(base) OVER () AS lft FROM q0_{names[1]}),
+qt_{names[1]} AS (SELECT label, n_c - (base + CASE WHEN rr <= lft THEN 1 ELSE 0 END) AS quota FROM q1_{names[1]}),
+rk_{names[1]} AS (SELECT s.row_id, s.label, s.h, row_number() OVER (PARTITION BY s.label ORDER BY s.h, s.row_id) AS rn
+     FROM {src} s),
+sp_{names[1]} AS (SELECT r.row_id, r.label, r.h, CASE WHEN r.rn <= q.quota THEN '{names[1]}' ELSE '{names[0]}' END AS split
+     FROM rk_{names[1]} r JOIN qt_{names[1]} q ON r.label = q.label)"""
+
+
+@query(
+    "split_stratified",
+    O.with_(_SPLIT_BASE, _strat_sql("0.2", "lr", ("train", "test"))) + "SELECT row_id, label, split FROM sp_test",
+)
+def q_split_stratified(spark, sf):
+    """K2: exact stratified 80/20 on ``toxic``."""
+    rows = T.token_matrix(spark, sf, with_columns=False).rows
+    return SP.split_stratified(rows, "label", 0.2, 42)
+
+
+@query(
+    "split_three_way",
+    O.with_(
+        _SPLIT_BASE,
+        _strat_sql("0.4", "lr", ("train", "temp")),
+        "tmp AS (SELECT row_id, label, h FROM sp_temp WHERE split = 'temp')",
+        _strat_sql("0.5", "tmp", ("valid", "test")),
+    )
+    + "SELECT row_id, label, split FROM sp_temp WHERE split = 'train' UNION ALL SELECT row_id, label, split FROM sp_test",
+)
+def q_split_three_way(spark, sf):
+    """K3: stratified 60/20/20 (train/valid/test)."""
+    rows = T.token_matrix(spark, sf, with_columns=False).rows
+    return SP.split_three_way(rows, "label", 42)
+
+
+@query(
+    "split_disjoint",
+    O.with_(_SPLIT_BASE)
+    + """, r AS (SELECT row_id, row_number() OVER (ORDER BY h, row_id) AS rn FROM lr),
+s AS (SELECT row_id, rn <= CAST(ceil(0.15 * (SELECT count(*) FROM lr)) AS BIGINT) AS is_test FROM r)
+SELECT (SELECT count(*) FROM lr) AS n_total, (SELECT count(*) FROM s WHERE NOT is_test) AS n_train,
+       (SELECT count(*) FROM s WHERE is_test) AS n_test, CAST(0 AS BIGINT) AS n_overlap, CAST(0 AS BIGINT) AS n_uncovered""",
+)
+def q_split_disjoint(spark, sf):
+    """train = all - test, checked by intersect and exceptAll."""
+    rows = T.token_matrix(spark, sf, with_columns=False).rows.select("row_id")
+    s = SP.split_random(rows, 0.15, 42)
+    return FU.split_report(rows, s.where(F.col("split") == "train"), s.where(F.col("split") == "test"))
+
+
+# ---------------------------------------------------------------- thresholds and metrics
+
+
+def _lineitem_scored(spark, sf) -> DataFrame:
+    li = T.table(spark, sf, "lineitem")
+    return li.select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_discount") * 10).cast("double").alias("p"),
+        (F.col("l_linestatus") == "O").cast("int").alias("y"),
+    )
+
+
+@query(
+    "threshold_label",
+    O.with_(O.LINEITEM_SCORE)
+    + "SELECT l_orderkey, l_linenumber, round(p, 6) AS p, CAST(p > 0.5 AS INTEGER) AS label FROM li",
+)
+def q_threshold_label(spark, sf):
+    """Strict ``p > 0.5`` labels."""
+    s = _lineitem_scored(spark, sf)
+    return s.select("l_orderkey", "l_linenumber", r6("p").alias("p"), threshold(F.col("p"), 0.5).alias("label"))
+
+
+@query(
+    "metric_accuracy",
+    O.with_(O.LINEITEM_SCORE)
+    + "SELECT round(avg(CAST(y = CAST(p > 0.5 AS INTEGER) AS DOUBLE)), 6) AS accuracy FROM li",
+)
+def q_metric_accuracy(spark, sf):
+    """Accuracy of ``p > 0.5`` against ``l_linestatus = 'O'``."""
+    s = _lineitem_scored(spark, sf).withColumn("prediction", threshold(F.col("p")))
+    return ME.accuracy(s, "y", "prediction").select(r6("accuracy").alias("accuracy"))
+
+
+@query(
+    "metric_logloss",
+    O.with_(O.LINEITEM_SCORE)
+    + """, c AS (SELECT CAST(y AS DOUBLE) AS y, least(greatest(p, 1e-15), 1.0 - 1e-15) AS q FROM li)
+SELECT round(avg(-(y * ln(q) + (1.0 - y) * ln(1.0 - q))), 6) AS log_loss FROM c""",
+)
+def q_metric_logloss(spark, sf):
+    """Log loss with probabilities clipped at 1e-15."""
+    return ME.log_loss(_lineitem_scored(spark, sf), "y", "p").select(r6("log_loss").alias("log_loss"))
+
+
+@query(
+    "metric_auc",
+    O.with_(O.LINEITEM_SCORE)
+    + """, g AS (SELECT p, count(*) AS n, sum(y) AS pos FROM li GROUP BY p),
+r AS (SELECT p, n, pos, sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM g),
+t AS (SELECT sum(pos * (CAST(cum - n AS DOUBLE) + CAST(n + 1 AS DOUBLE) / 2.0)) AS rs,
+             CAST(sum(pos) AS DOUBLE) AS np, CAST(sum(n) AS DOUBLE) AS nn FROM r)
+SELECT round((rs - np * (np + 1) / 2) / (np * (nn - np)), 6) AS auc FROM t""",
+)
+def q_metric_auc(spark, sf):
+    """Exact ROC AUC (average ranks for ties) of ``p`` against ``y``."""
+    return ME.roc_auc(_lineitem_scored(spark, sf), "y", "p").select(r6("auc").alias("auc"))

@@ -113,3 +113,37 @@ chi AS (
 
 def with_(*fragments: str) -> str:
     return "WITH " + ",\n".join(f.strip() for f in fragments) + "\n"
+
+# Document metadata: train (labelled, with label) and test (unlabelled).
+DOCMETA = """
+trm AS (SELECT d.doc_id AS ID, d.lang AS lang, d.source AS source, CAST(l.toxic AS INTEGER) AS label
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+tem AS (SELECT doc_id AS ID, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+
+# Order metadata with nulls, and its filled form.
+ORDMETA = """
+om AS (SELECT o_orderkey AS ID, o_orderstatus,
+              CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS o_orderpriority
+       FROM orders),
+omf AS (SELECT ID, coalesce(o_orderstatus, 'Missing') AS o_orderstatus,
+               coalesce(o_orderpriority, 'Missing') AS o_orderpriority FROM om)"""
+
+# Top-2 per column of train docs (lang, source): top2(column, value, n, rank).
+DOC_TOP2 = """
+trl AS (SELECT 'lang' AS "column", lang AS value FROM trm UNION ALL SELECT 'source', source FROM trm),
+trc AS (SELECT "column", value, count(*) AS n FROM trl WHERE value IS NOT NULL GROUP BY 1, 2),
+top2 AS (SELECT * FROM (SELECT "column", value, n,
+           row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC) AS rank FROM trc) WHERE rank <= 2)"""
+
+# Target statistics on train docs: ts(column, value, n, y_sum, y_mean, prior).
+DOC_TARGET = """
+tl AS (SELECT 'lang' AS "column", lang AS value, CAST(label AS DOUBLE) AS y FROM trm
+       UNION ALL SELECT 'source', source, CAST(label AS DOUBLE) FROM trm),
+pr AS (SELECT avg(CAST(label AS DOUBLE)) AS prior FROM trm),
+ts AS (SELECT "column", value, count(*) AS n, sum(y) AS y_sum, avg(y) AS y_mean, pr.prior AS prior
+       FROM tl, pr GROUP BY "column", value, pr.prior)"""
+
+# Lineitem with a column-based score: li(l_orderkey, l_linenumber, p, y).
+LINEITEM_SCORE = """
+li AS (SELECT l_orderkey, l_linenumber, CAST(l_discount * 10 AS DOUBLE) AS p,
+              CAST(l_linestatus = 'O' AS INTEGER) AS y FROM lineitem)"""
