@@ -104,29 +104,50 @@ def drop_features(m: WideMatrix, dropped: DataFrame, bound_rows: int | None = No
     return m.with_entries(entries, cols)
 
 
-def to_vectors(m: WideMatrix, width: int, index_col: str = "new_index", keep: list[str] | None = None) -> DataFrame:
-    """(row_id, [label,] features) with a dense ml vector of ``width`` slots.
+# Above this width vectors are built sparse (Arrow-batched UDF wrapping
+# JVM-sorted index/value arrays); at or below it dense, fully JVM-side.
+DENSE_MAX_WIDTH = 4096
+
+
+def _sparse_vector_udf(width: int):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT(), useArrow=True)
+    def make(idx, val):
+        return SparseVector(width, idx or [], val or [])
+
+    return make
+
+
+def to_vectors(m: WideMatrix, width: int, index_col: str = "new_index", keep: list[str] | None = None,
+               sparse: bool | None = None) -> DataFrame:
+    """(row_id, [label,] features): one ml vector of ``width`` slots per spine row.
 
     Entries must carry ``index_col`` (0-based, < width), e.g. from ``gather``.
     The row spine is the left side, so a row with no selected entry keeps an
     all-zero vector (it must not vanish).  Each row collects at most ``width``
     cells, a bound set by the selection.
     """
-    if width > 1_000_000:
-        raise ValueError("vector width above 1e6")
-    cells = m.entries.groupBy("row_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(index_col).cast("int"), F.col("value")))).alias("__cells")
-    )
     from pyspark.ml.functions import array_to_vector
 
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(F.col("__cells"), i), F.lit(0.0))
-    ) if width > 0 else F.array().cast("array<double>")
+    sparse = width > DENSE_MAX_WIDTH if sparse is None else sparse
     keep = keep if keep is not None else [c for c in m.rows.columns if c != "row_id"]
-    return (
-        m.rows.join(cells, "row_id", "left")
-        .select("row_id", *keep, array_to_vector(F.coalesce(dense, F.array_repeat(F.lit(0.0), width))).alias("features"))
+    cells = m.entries.groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(index_col).cast("int").alias("i"), F.col("value").alias("v")))).alias(
+            "__cells"
+        )
+    )
+    joined = m.rows.join(cells, "row_id", "left")
+    if sparse:
+        idx = F.coalesce(F.transform("__cells", lambda c: c["i"]), F.array().cast("array<int>"))
+        val = F.coalesce(F.transform("__cells", lambda c: c["v"]), F.array().cast("array<double>"))
+        return joined.select("row_id", *keep, _sparse_vector_udf(width)(idx, val).alias("features"))
+    as_map = F.map_from_arrays(F.transform("__cells", lambda c: c["i"]), F.transform("__cells", lambda c: c["v"]))
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(as_map, i), F.lit(0.0))
     )
+    filled = F.when(F.col("__cells").isNull(), F.array_repeat(F.lit(0.0), width)).otherwise(dense)
+    return joined.select("row_id", *keep, array_to_vector(filled).alias("features"))
 
 
 def row_range(rows: DataFrame, start: int, end: int, order: list[str] | None = None) -> DataFrame:

@@ -65,3 +65,45 @@ def weight_block(m: WideMatrix, weight: float, n_cols: int) -> WideMatrix:
         raise ValueError("n_cols must be positive")
     e = m.entries.withColumn("value", F.col("value") * F.lit(float(weight)) / F.lit(float(n_cols)))
     return m.with_entries(e, m.columns)
+
+
+class PopulationScaler:
+    """E5 in vector form with the population std.
+
+    * ``center=True`` (narrow, dense vectors): ``(x - mean) / std`` from
+      ``vector_fit`` arrays, JVM-side ``zip_with``.
+    * ``center=False`` (wide, sparse vectors): Spark's ``StandardScaler``
+      (``withMean=False`` keeps vectors sparse; it divides by the sample std),
+      then one ``ElementwiseProduct`` by ``sqrt(N / (N - 1))`` to get the
+      population std.  Zero-std columns map to 0.
+    """
+
+    def __init__(self, center: bool = True, col: str = "features"):
+        self.center, self.col = center, col
+        self._fit = None
+        self._model = None
+        self._factor = 1.0
+        self._width = 0
+
+    def fit(self, vectors: DataFrame) -> "PopulationScaler":
+        if self.center:
+            self._fit = vector_fit(vectors, self.col).cache()
+            return self
+        from pyspark.ml.feature import StandardScaler
+
+        self._model = StandardScaler(withMean=False, withStd=True, inputCol=self.col, outputCol="__scaled").fit(vectors)
+        n = vectors.count()
+        self._factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+        self._width = len(self._model.std)
+        return self
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        if self.center:
+            return standardize_vectors(vectors, self._fit, self.col, self.col)
+        from pyspark.ml.feature import ElementwiseProduct
+        from pyspark.ml.linalg import Vectors
+
+        out = self._model.transform(vectors)
+        ep = ElementwiseProduct(scalingVec=Vectors.dense([self._factor] * self._width), inputCol="__scaled",
+                                outputCol="__scaled2")
+        return ep.transform(out).drop(self.col, "__scaled").withColumnRenamed("__scaled2", self.col)

@@ -761,3 +761,126 @@ SELECT round((rs - np * (np + 1) / 2) / (np * (nn - np)), 6) AS auc FROM t""",
 def q_metric_auc(spark, sf):
     """Exact ROC AUC (average ranks for ties) of ``p`` against ``y``."""
     return ME.roc_auc(_lineitem_scored(spark, sf), "y", "p").select(r6("auc").alias("auc"))
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+
+from featsift.plans import pipelines as PL  # noqa: E402
+
+
+def _screen(spark, sf, cfg):
+    train = T.token_matrix(spark, sf, "labelled")
+    test = T.token_matrix(spark, sf, "unlabelled", with_columns=False)
+    fitted = PL.fit_screening(train, cfg)
+    return fitted, test
+
+
+def _scored_out(df: DataFrame) -> DataFrame:
+    return df.select("row_id", r6("p").alias("p"), "label_pred")
+
+
+@query("logreg_score")
+def q_logreg_score(spark, sf):
+    """chi2 top-500 -> scale -> logistic regression (C=1, 1000 iterations) -> test scores."""
+    fitted, test = _screen(spark, sf, PL.ScreeningConfig("chi2", 500, model="logreg", model_params={"max_iter": 1000}))
+    return _scored_out(PL.transform_screening(fitted, test))
+
+
+@query("forest_score")
+def q_forest_score(spark, sf):
+    """F top-500 -> scale -> random forest (30 trees, depth 10, sqrt features) -> test scores."""
+    cfg = PL.ScreeningConfig("anova_f", 500, model="forest", model_params={"num_trees": 30, "max_depth": 10})
+    fitted, test = _screen(spark, sf, cfg)
+    return _scored_out(PL.transform_screening(fitted, test))
+
+
+@query("gbt_score")
+def q_gbt_score(spark, sf):
+    """L3/L4: prefix 10k columns -> std > 1e-12 -> variance top-2000 (ascending layout) -> scale -> boosted trees."""
+    params = dict(MD_PRESET_SMALL)
+    cfg = PL.ScreeningConfig("variance", 2000, layout="ascending", prefix=10_000, drop_constant_eps=1e-12,
+                             model="gbt", model_params=params)
+    fitted, test = _screen(spark, sf, cfg)
+    return _scored_out(PL.transform_screening(fitted, test))
+
+
+# Demo size for boosted trees in queries (the reference presets run to thousands of rounds).
+MD_PRESET_SMALL = dict(n_estimators=20, learning_rate=0.1, max_depth=4, subsample=0.8, colsample_bytree=0.8)
+
+
+@query("gbt_early_stop")
+def q_gbt_early_stop(spark, sf):
+    """Prefix 5,000 columns -> std > 0 -> scale -> 85/15 hold-out -> boosted trees, patience 5 -> test scores."""
+    params = dict(MD_PRESET_SMALL, n_estimators=30)
+    cfg = PL.ScreeningConfig(None, 0, prefix=5000, drop_constant_eps=0.0, model="gbt", model_params=params,
+                             holdout=0.15, patience=5)
+    fitted, test = _screen(spark, sf, cfg)
+    return _scored_out(PL.transform_screening(fitted, test)).withColumn("best_rounds", F.lit(fitted.best_rounds))
+
+
+@query("gbt_eval_curve")
+def q_gbt_eval_curve(spark, sf):
+    """Per-round train / valid loss of the boosted model (chi2 top-1000, hold-out 0.15)."""
+    params = dict(MD_PRESET_SMALL, n_estimators=25)
+    cfg = PL.ScreeningConfig("chi2", 1000, model="gbt", model_params=params, holdout=0.15)
+    fitted, _ = _screen(spark, sf, cfg)
+    return spark.createDataFrame(fitted.curve, "round int, split string, loss double").select(
+        "round", "split", r6("loss").alias("loss")
+    )
+
+
+@query("score_pipeline")
+def q_score_pipeline(spark, sf):
+    """Fitted F top-1000 + scaler + logistic regression replayed on every unlabelled row."""
+    cfg = PL.ScreeningConfig("anova_f", 1000, model="logreg", model_params={"max_iter": 200})
+    fitted, test = _screen(spark, sf, cfg)
+    return _scored_out(PL.transform_screening(fitted, test))
+
+
+@query("submission")
+def q_submission(spark, sf):
+    """The flagship's ``(id, label)`` table, also written as CSV to the shared scratch folder."""
+    from featsift.session import scratch_path
+
+    sub = PL.screening_submission(spark, sf)
+    PL.write_submission(sub, scratch_path(spark, "submission"))
+    return sub
+
+
+@query("pca_embeddings")
+def q_pca_embeddings(spark, sf):
+    """16 principal components of the (centred) embedding rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from featsift.operators import reduce as RD
+
+    emb = T.table(spark, sf, "embeddings")
+    from pyspark.ml.functions import array_to_vector
+
+    v = emb.select(F.col("vec_id").alias("row_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    fit = RD.pca_fit(v, 16)
+    out = RD.pca_project(v, fit)
+    return out.select("row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("pcs"))
+
+
+@query("pca_project")
+def q_pca_project(spark, sf):
+    """PCA fitted on labelled chi2 top-200 token vectors, applied to the unlabelled rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    _, te, _ = PL.reduced_tokens(spark, sf, 200, 16)
+    return te.select("row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("pcs"))
+
+
+@query("fused_score")
+def q_fused_score(spark, sf):
+    """Target-encoded metadata + reduced token matrix -> stratified split -> early-stopped boosting -> p > 0.5."""
+    scored, _, best = PL.fused_metadata_scores(spark, sf, "target", rounds=30, patience=10)
+    return _scored_out(scored).withColumn("best_rounds", F.lit(best))
+
+
+@query("onehot_fused_score")
+def q_onehot_fused_score(spark, sf):
+    """Top-2 collapse + one-hot + align + 0.3/0.7 block weights + reduced matrix -> boosting -> p > 0.5."""
+    scored, _, best = PL.fused_metadata_scores(spark, sf, "onehot", rounds=30, patience=10)
+    return _scored_out(scored).withColumn("best_rounds", F.lit(best))
