@@ -14,10 +14,12 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> D
 
 
 def log_loss(df: DataFrame, label: str = "label", prob: str = "p", eps: float = 1e-15) -> DataFrame:
-    """Mean negative log likelihood, natural log, p clipped to [eps, 1-eps]."""
-    p = F.least(F.greatest(F.col(prob).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
-    y = F.col(label).cast("double")
-    return df.agg(F.avg(-(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))).alias("log_loss"))
+    """Mean negative log likelihood, natural log; the probability given to
+    the true class is clipped to [eps, 1-eps] (so p = 1 for a 0 row costs -ln eps)."""
+    p = F.col(prob).cast("double")
+    p_true = F.when(F.col(label) == 1, p).otherwise(F.lit(1.0) - p)
+    q = F.least(F.greatest(p_true, F.lit(eps)), F.lit(1.0 - eps))
+    return df.agg(F.avg(-F.log(q)).alias("log_loss"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:

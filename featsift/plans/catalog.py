@@ -741,8 +741,8 @@ def q_metric_accuracy(spark, sf):
 @query(
     "metric_logloss",
     O.with_(O.LINEITEM_SCORE)
-    + """, c AS (SELECT CAST(y AS DOUBLE) AS y, least(greatest(p, 1e-15), 1.0 - 1e-15) AS q FROM li)
-SELECT round(avg(-(y * ln(q) + (1.0 - y) * ln(1.0 - q))), 6) AS log_loss FROM c""",
+    + """, c AS (SELECT least(greatest(CASE WHEN y = 1 THEN p ELSE 1.0 - p END, 1e-15), 1.0 - 1e-15) AS q FROM li)
+SELECT round(avg(-ln(q)), 6) AS log_loss FROM c""",
 )
 def q_metric_logloss(spark, sf):
     """Log loss with probabilities clipped at 1e-15."""
