@@ -115,9 +115,7 @@ def submission_frame(scored: DataFrame) -> DataFrame:
     return scored.select(F.col("row_id").alias("id"), F.col("label_pred").cast("int").alias("label"))
 
 
-def write_submission(df: DataFrame, path: str) -> None:
-    """CSV with a header ``id,label``; a directory of part files (no single-file funnel)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+from featsift.sources.sinks import write_submission  # noqa: E402,F401
 
 
 def screening_submission(spark: SparkSession, sf_dir: str, cfg: ScreeningConfig | None = None) -> DataFrame:

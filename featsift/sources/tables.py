@@ -24,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Scan-parallelism floor for CPU-heavy per-row work (tokenising whole texts).
+
+    A large table arrives in many file splits and is left alone; a table that
+    is a single row group (one task) is spread round-robin over the default
+    parallelism before the heavy projection.  No key, so no skew.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def doc_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, token): distinct tokens per document, whole text, no shuffle."""
     return (
@@ -35,7 +49,7 @@ def doc_tokens(docs: DataFrame) -> DataFrame:
 
 def token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column spine of the token matrix: every token of every document (train and test)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return doc_tokens(docs).select(F.col("token").alias("feature_id")).distinct()
 
 
@@ -51,6 +65,7 @@ def token_matrix(
         docs = docs.join(labels, "doc_id", "left_anti")
     elif part != "all":
         raise ValueError(part)
+    docs = spread(docs)
     carry = ["label"] if part == "labelled" else []
     tokens = docs.select(
         "doc_id", *carry, F.explode(F.array_distinct(F.split(F.lower(F.col("text")), TOKEN_SPLIT))).alias("token")
