@@ -154,19 +154,29 @@ def fit_target_encoder(df: DataFrame, cols: list[str], label: str = "label", wei
         enc = (F.col("y_sum") + F.lit(float(smoothing)) * F.col("prior")) / (n + F.lit(float(smoothing)))
     else:
         raise ValueError(weighting)
-    return st.select("column", "value", enc.alias("encoding"), "prior")
+    from featsift.session import pin
+
+    # Computed once, reused by every column's lookup and by train and test.
+    return pin(st.select("column", "value", enc.alias("encoding"), "prior"))
 
 
 def apply_target_encoder(df: DataFrame, cols: list[str], fitted: DataFrame, suffix: str = "") -> DataFrame:
     """Per column, left join the fitted dictionary; unseen or null -> prior.
-    One join per column on (value); AQE broadcasts the dictionary when small."""
+
+    The dictionary (one row per category) is counted: at most
+    ``BROADCAST_ROWS`` it is broadcast, so a hot category on the big side never
+    meets a shuffle; above that the planner shuffles and AQE splits skew."""
+    from featsift.operators.matrix import BROADCAST_ROWS
+
     prior = fitted.select("prior").limit(1).collect()
     prior_v = float(prior[0][0]) if prior else 0.0
+    small = fitted.count() <= BROADCAST_ROWS
     out = df
     for c in cols:
         d = fitted.where(F.col("column") == c).select(
             F.col("value").alias(f"__v_{c}"), F.col("encoding").alias(f"__e_{c}")
         )
+        d = F.broadcast(d) if small else d
         out = out.join(d, F.col(f"`{c}`").cast("string") == F.col(f"__v_{c}"), "left")
         out = out.withColumn(c + suffix, F.coalesce(F.col(f"__e_{c}"), F.lit(prior_v))).drop(f"__v_{c}", f"__e_{c}")
     return out
