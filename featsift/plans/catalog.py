@@ -884,3 +884,14 @@ def q_onehot_fused_score(spark, sf):
     """Top-2 collapse + one-hot + align + 0.3/0.7 block weights + reduced matrix -> boosting -> p > 0.5."""
     scored, _, best = PL.fused_metadata_scores(spark, sf, "onehot", rounds=30, patience=10)
     return _scored_out(scored).withColumn("best_rounds", F.lit(best))
+
+
+@query("pca_wide")
+def q_pca_wide(spark, sf):
+    """D1/D2 at full width: randomised PCA (16 components) of the whole labelled
+    token matrix, centred implicitly, applied to the unlabelled rows."""
+    from featsift.operators import randomized_pca as RP
+
+    fit = RP.fit(T.token_matrix(spark, sf, with_columns=False), k=16, oversample=10, power_iters=2)
+    test = T.token_matrix(spark, sf, "unlabelled", with_columns=False)
+    return RP.project(test, fit).select("row_id", F.transform("pcs", lambda x: F.round(x, 6)).alias("pcs"))
