@@ -55,6 +55,21 @@ def logistic_regression(n_rows: int, max_iter: int = 1000, c: float = 1.0, tol:
     )
 
 
+TARGET_PARTITION_BYTES = 32 << 20
+
+
+def right_size(vectors: DataFrame, n_rows: int, width: int) -> DataFrame:
+    """Coalesce (no shuffle) a dense-vector training set to about 32 MB per partition.
+
+    Iterative optimisers run one job per iteration, so on small inputs the task
+    count, not the data, sets the time; on large inputs the byte estimate keeps
+    thousands of partitions and this is a no-op.
+    """
+    est = n_rows * (width * 8 + 16)
+    target = max(1, -(-est // TARGET_PARTITION_BYTES))
+    return vectors.coalesce(target) if target < vectors.rdd.getNumPartitions() else vectors
+
+
 def random_forest(num_trees: int = 200, max_depth: int = 20, min_leaf: int = 2, seed: int = 42,
                   features: str = "features", label: str = "label", max_bins: int = 32) -> RandomForestClassifier:
     return RandomForestClassifier(

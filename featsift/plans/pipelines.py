@@ -86,8 +86,13 @@ def fit_screening(train: MX.WideMatrix, cfg: ScreeningConfig) -> FittedScreening
         train_part = vec.join(s.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi")
         valid_part = vec.join(s.where(F.col("split") == "test").select("row_id"), "row_id", "left_semi")
     if cfg.model == "logreg":
-        est = MD.logistic_regression(train_part.count(), **cfg.model_params)
-        fitted.model = est.fit(train_part)
+        n_train = train_part.count()
+        part = train_part
+        if width <= MX.DENSE_MAX_WIDTH:
+            part = MD.right_size(train_part, n_train, width).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted.model = MD.logistic_regression(n_train, **cfg.model_params).fit(part)
+        if part is not train_part:
+            part.unpersist()
     elif cfg.model == "forest":
         fitted.model = MD.random_forest(**cfg.model_params).fit(train_part)
     elif cfg.model == "gbt":
