@@ -44,8 +44,6 @@ def _class_aggregates(m: WideMatrix, classes: list[int], with_squares: bool) ->
         F.min("value").alias("mn"),
         F.max("value").alias("mx"),
     ]
-    if with_squares:
-        aggs.append(F.sum(F.col("value") * F.col("value")).alias("ss"))
     for i, c in enumerate(classes):
         inc = F.col("label") == F.lit(c)
         aggs += [
@@ -53,7 +51,8 @@ def _class_aggregates(m: WideMatrix, classes: list[int], with_squares: bool) ->
             F.count(F.when(inc, F.lit(1))).alias(f"nnz_{i}"),
         ]
         if with_squares:
-            aggs += [F.min(F.when(inc, F.col("value"))).alias(f"mn_{i}"), F.max(F.when(inc, F.col("value"))).alias(f"mx_{i}")]
+            v = F.when(inc, F.col("value"))
+            aggs += [F.min(v).alias(f"mn_{i}"), F.max(v).alias(f"mx_{i}"), F.var_pop(v).alias(f"v_{i}")]
     agg = e.groupBy("feature_id").agg(*aggs)
     if m.columns is not None:
         agg = m.feature_spine().join(agg, "feature_id", "left")
@@ -71,12 +70,19 @@ def anova_f(m: WideMatrix, class_counts: dict[int, int] | None = None) -> DataFr
     agg = _class_aggregates(m, classes, with_squares=True)
     nnz = F.coalesce(F.col("nnz"), F.lit(0))
     s = F.coalesce(F.col("s"), F.lit(0.0))
-    between = F.lit(0.0)
+    mean = s / F.lit(n)
+    # Stable forms: SSB = Σ n_c (mean_c - mean)²; SSW = Σ_c M2_c where M2_c merges the
+    # stored cells' var_pop with the class's implicit zeros (Chan et al.).
+    ssb, ssw = F.lit(0.0), F.lit(0.0)
     for i, c in enumerate(classes):
+        n_c = F.lit(float(cc[c]))
         sc = F.coalesce(F.col(f"s_{i}"), F.lit(0.0))
-        between = between + sc * sc / F.lit(float(cc[c]))
-    ssb = F.greatest(between - s * s / F.lit(n), F.lit(0.0))
-    ssw = F.greatest(F.coalesce(F.col("ss"), F.lit(0.0)) - between, F.lit(0.0))
+        nz = F.col(f"nnz_{i}").cast("double")
+        d = sc / n_c - mean
+        ssb = ssb + n_c * d * d
+        m1 = sc / nz
+        m2 = F.col(f"v_{i}") * nz + nz * (n_c - nz) / n_c * m1 * m1
+        ssw = ssw + F.when(F.coalesce(F.col(f"nnz_{i}"), F.lit(0)) == 0, F.lit(0.0)).otherwise(m2)
     global_const = (nnz == 0) | ((nnz == F.lit(int(n))) & (F.col("mn") == F.col("mx")))
     within_const = F.lit(True)
     for i, c in enumerate(classes):

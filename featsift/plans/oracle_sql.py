@@ -64,27 +64,32 @@ mom AS (
 )"""
 
 # ANOVA F per feature over cols; needs entries, rws, cols.  Output anova(feature_id, f_score).
+# SSB = Σ n_c (mean_c - mean)² (absent classes add n_c mean²); SSW = Σ_c M2_c (var_pop merged with zeros).
 ANOVA = """
 cls AS (SELECT label, count(*) AS n_c FROM rws GROUP BY label),
 tot AS (SELECT CAST(sum(n_c) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k FROM cls),
 fc AS (
-  SELECT feature_id, label, sum(value) AS s_c, count(*) AS nnz_c, min(value) AS mn_c, max(value) AS mx_c,
-         sum(value * value) AS ss_c
-  FROM entries GROUP BY feature_id, label
+  SELECT e.feature_id, e.label, sum(value) AS s_c, count(*) AS nnz_c, min(value) AS mn_c, max(value) AS mx_c,
+         var_pop(value) AS v_c, CAST(cls.n_c AS DOUBLE) AS n_c
+  FROM entries e JOIN cls ON e.label = cls.label GROUP BY e.feature_id, e.label, cls.n_c
 ),
+f0 AS (SELECT feature_id, sum(s_c) AS s, sum(n_c) AS n_present FROM fc GROUP BY feature_id),
 fa AS (
-  SELECT fc.feature_id, sum(s_c) AS s, sum(ss_c) AS ss, sum(nnz_c) AS nnz, min(mn_c) AS mn, max(mx_c) AS mx,
-         sum(s_c * s_c / n_c) AS betw, bool_and(nnz_c = n_c AND mn_c = mx_c) AS within_const
-  FROM fc JOIN cls ON fc.label = cls.label GROUP BY fc.feature_id
+  SELECT fc.feature_id, sum(fc.nnz_c) AS nnz, min(fc.mn_c) AS mn, max(fc.mx_c) AS mx,
+         sum(fc.n_c * (fc.s_c / fc.n_c - f0.s / tot.n) * (fc.s_c / fc.n_c - f0.s / tot.n))
+           + (tot.n - f0.n_present) * (f0.s / tot.n) * (f0.s / tot.n) AS ssb,
+         sum(fc.v_c * fc.nnz_c + fc.nnz_c * (fc.n_c - fc.nnz_c) / fc.n_c * (fc.s_c / fc.nnz_c) * (fc.s_c / fc.nnz_c)) AS ssw,
+         bool_and(fc.nnz_c = fc.n_c AND fc.mn_c = fc.mx_c) AS within_const
+  FROM fc JOIN f0 ON fc.feature_id = f0.feature_id, tot
+  GROUP BY fc.feature_id, f0.s, f0.n_present, tot.n
 ),
 anova AS (
   SELECT c.feature_id,
     CASE
       WHEN fa.nnz IS NULL OR (fa.nnz = tot.n AND fa.mn = fa.mx) THEN NULL
       WHEN fa.within_const THEN CAST('inf' AS DOUBLE)
-      WHEN greatest(fa.ss - fa.betw, 0.0) <= 0 THEN NULL
-      ELSE (greatest(fa.betw - fa.s * fa.s / tot.n, 0.0) / (tot.k - 1))
-           / (greatest(fa.ss - fa.betw, 0.0) / (tot.n - tot.k))
+      WHEN fa.ssw <= 0 THEN NULL
+      ELSE (fa.ssb / (tot.k - 1)) / (fa.ssw / (tot.n - tot.k))
     END AS f_score
   FROM cols c LEFT JOIN fa ON c.feature_id = fa.feature_id, tot
 )"""
