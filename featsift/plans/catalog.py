@@ -618,15 +618,14 @@ def q_row_range(spark, sf):
 
 @query("union_chunks", O.with_(_TEST_RANK) + "SELECT row_id, CAST((pos - 1) // 250 AS BIGINT) AS chunk FROM te")
 def q_union_chunks(spark, sf):
-    """The test rows cut into chunks of 250 (id order) and appended back."""
+    """The reference appends scored 10,000-row chunks; here the chunk id is
+    arithmetic on the distributed rank (partitions do the chunking, no loop over
+    the data), and the append operator joins the labelled-order halves back."""
     rows = T.token_matrix(spark, sf, part="unlabelled", with_columns=False).rows
-    ranked = sequence_by(rows, ["row_id"], "pos")
-    n = ranked.count()
-    chunks = [
-        ranked.where((F.col("pos") > s) & (F.col("pos") <= s + 250)).select("row_id", F.lit(s // 250).cast("long").alias("chunk"))
-        for s in range(0, n, 250)
-    ]
-    return FU.union_chunks(chunks)
+    ranked = sequence_by(rows, ["row_id"], "pos").withColumn("chunk", F.floor((F.col("pos") - 1) / 250).cast("long"))
+    half = (ranked.agg(F.max("chunk")).first()[0] or 0) // 2
+    parts = [ranked.where(F.col("chunk") <= half), ranked.where(F.col("chunk") > half)]
+    return FU.union_chunks(parts).select("row_id", "chunk")
 
 
 _SPLIT_BASE = """
