@@ -894,3 +894,18 @@ def q_pca_wide(spark, sf):
     fit = RP.fit(T.token_matrix(spark, sf, with_columns=False), k=16, oversample=10, power_iters=2)
     test = T.token_matrix(spark, sf, "unlabelled", with_columns=False)
     return RP.project(test, fit).select("row_id", F.transform("pcs", lambda x: F.round(x, 6)).alias("pcs"))
+
+
+@query("metadata_gbt_accuracy")
+def q_metadata_gbt_accuracy(spark, sf):
+    """Metadata-only chain: collapse -> one-hot -> align -> stratified split -> boosting -> accuracy per part."""
+    out = PL.metadata_model_accuracy(spark, sf, rounds=20)
+    return out.select("split", r6("accuracy").alias("accuracy"), "n")
+
+
+@query("three_way_report")
+def q_three_way_report(spark, sf):
+    """60/20/20 chain: target encoding + scaling + reduced matrix -> early-stopped boosting ->
+    accuracy and log loss on valid and test."""
+    out = PL.three_way_report(spark, sf, rounds=20, patience=5)
+    return out.select("split", r6("accuracy").alias("accuracy"), r6("log_loss").alias("log_loss"), "n", "best_rounds")

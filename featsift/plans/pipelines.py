@@ -219,3 +219,90 @@ def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "tar
     est = MD.gbt_from_xgb(params, seed=seed)
     res = MD.fit_early_stopping(est, tr_part, va_part, patience)
     return MD.score(res.model, te, ["row_id"]), res.curve, res.best_rounds
+
+
+def _metadata_vectors(train: DataFrame, test_frames: dict[str, DataFrame], cols: list[str], encoding: str,
+                      fit_part: DataFrame):
+    """Encode metadata frames into ``(row_id[, label], features)`` vectors with the
+    encoder fitted on ``fit_part`` only (no leakage into valid/test rows)."""
+    from pyspark.ml.feature import VectorAssembler
+
+    frames = {"train": train, **test_frames}
+    out = {}
+    if encoding == "onehot":
+        top = EN.fit_top_categories(fit_part, cols, 2)
+        dic = EN.dummy_dictionary(EN.collapse_rare(fit_part, cols, top), cols)
+        idx = pin(SE.nonconstant_selection(dic))
+        width = idx.count()
+        for name, df in frames.items():
+            c = EN.collapse_rare(df, cols, top)
+            lab = ["label"] if "label" in df.columns else []
+            m = MX.WideMatrix(
+                entries=EN.align_to_train(EN.one_hot_long(c, cols), dic),
+                rows=df.select(F.col("ID").alias("row_id"), *lab),
+            )
+            out[name] = MX.to_vectors(MX.gather(m, idx, bound_rows=width), width)
+        return out
+    enc = EN.fit_target_encoder(fit_part, cols, weighting="sigmoid", smoothing=10.0)
+    asm = VectorAssembler(inputCols=cols, outputCol="features")
+    for name, df in frames.items():
+        lab = ["label"] if "label" in df.columns else []
+        e = EN.apply_target_encoder(df, cols, enc)
+        out[name] = asm.transform(e).select(F.col("ID").alias("row_id"), *lab, "features")
+    return out
+
+
+def metadata_model_accuracy(spark: SparkSession, sf_dir: str, rounds: int = 30, seed: int = 42) -> DataFrame:
+    """Metadata only: fill -> top-2 collapse -> one-hot aligned to train ->
+    stratified 80/20 -> boosted trees -> predicted class -> accuracy on both parts."""
+    from featsift.operators import metrics as ME
+
+    cols = ["lang", "source"]
+    meta = EN.fill_missing(T.document_metadata(spark, sf_dir, "labelled"), cols)
+    split = SP.split_stratified(meta.select(F.col("ID").alias("row_id"), "label"), "label", 0.2, seed)
+    fit_part = meta.join(split.where(F.col("split") == "train").select(F.col("row_id").alias("ID")), "ID", "left_semi")
+    vec = _metadata_vectors(meta, {}, cols, "onehot", fit_part)["train"].join(split.select("row_id", "split"), "row_id")
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    params = dict(MD.XGB_PRESETS["meta_300"], n_estimators=rounds)
+    params.pop("reg_lambda", None)
+    model = MD.gbt_from_xgb(params, seed=seed).fit(vec.where(F.col("split") == "train"))
+    scored = model.transform(vec).select("split", "label", "prediction")
+    return scored.groupBy("split").agg(
+        F.avg((F.col("label").cast("double") == F.col("prediction")).cast("double")).alias("accuracy"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def three_way_report(spark: SparkSession, sf_dir: str, rounds: int = 30, patience: int = 10,
+                     seed: int = 42) -> DataFrame:
+    """Stratified 60/20/20 -> target encoding fitted on train -> population
+    scaling -> hstack with the reduced token matrix -> boosted trees with early
+    stopping on valid -> accuracy and log loss on valid and test (p > 0.5)."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from featsift.operators import metrics as ME
+
+    cols = ["lang", "source"]
+    meta = EN.fill_missing(T.document_metadata(spark, sf_dir, "labelled"), cols)
+    parts = SP.split_three_way(meta.select(F.col("ID").alias("row_id"), "label"), "label", seed)
+    fit_part = meta.join(parts.where(F.col("split") == "train").select(F.col("row_id").alias("ID")), "ID", "left_semi")
+    enc = _metadata_vectors(meta, {}, cols, "target", fit_part)["train"]
+    sc = SCL.PopulationScaler(center=True).fit(enc.join(parts.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi"))
+    enc = sc.transform(enc)
+    red_tr, _, _ = reduced_tokens(spark, sf_dir)
+    joined = enc.withColumnRenamed("features", "__m").join(red_tr.select("row_id", F.col("features").alias("__r")), "row_id")
+    vec = VectorAssembler(inputCols=["__m", "__r"], outputCol="features").transform(joined).select("row_id", "label", "features")
+    vec = vec.join(parts.select("row_id", "split"), "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    params = dict(MD.XGB_PRESETS["fused_2000"], n_estimators=rounds)
+    params.pop("reg_lambda", None)
+    params.pop("reg_alpha", None)
+    res = MD.fit_early_stopping(MD.gbt_from_xgb(params, seed=seed), vec.where(F.col("split") == "train"),
+                                vec.where(F.col("split") == "valid"), patience)
+    scored = MD.score(res.model, vec.where(F.col("split") != "train"), ["split", "label"])
+    p_true = F.when(F.col("label") == 1, F.col("p")).otherwise(F.lit(1.0) - F.col("p"))
+    q = F.least(F.greatest(p_true, F.lit(1e-15)), F.lit(1.0 - 1e-15))
+    return scored.groupBy("split").agg(
+        F.avg((F.col("label") == F.col("label_pred")).cast("double")).alias("accuracy"),
+        F.avg(-F.log(q)).alias("log_loss"),
+        F.count(F.lit(1)).alias("n"),
+    ).withColumn("best_rounds", F.lit(res.best_rounds))
