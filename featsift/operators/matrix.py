@@ -28,9 +28,15 @@ class WideMatrix:
     rows: DataFrame
     columns: DataFrame | None = None
     label_col: str | None = "label"
+    # Optional single-scan source: the cells of every row that defines the column
+    # spine (e.g. train and test documents), with a boolean ``__in`` marking the
+    # rows of this matrix.  Per-feature statistics then aggregate once over it,
+    # with no second scan for the spine and no spine join.
+    scan: DataFrame | None = None
 
-    def with_entries(self, entries: DataFrame, columns: DataFrame | None = None) -> "WideMatrix":
-        return replace(self, entries=entries, columns=columns)
+    def with_entries(self, entries: DataFrame, columns: DataFrame | None = None,
+                     scan: DataFrame | None = None) -> "WideMatrix":
+        return replace(self, entries=entries, columns=columns, scan=scan)
 
     def n_rows(self) -> int:
         return self.rows.count()
@@ -86,7 +92,8 @@ def prefix_features(m: WideMatrix, k: int) -> WideMatrix:
         return m
     cut = F.col("feature_id") <= F.lit(kth)
     cols = m.columns.where(cut) if m.columns is not None else None
-    return m.with_entries(m.entries.where(cut), cols)
+    scan = m.scan.where(cut) if m.scan is not None else None
+    return m.with_entries(m.entries.where(cut), cols, scan)
 
 
 def gather(m: WideMatrix, selected: DataFrame, bound_rows: int | None = None) -> WideMatrix:

@@ -37,24 +37,26 @@ def labelled_entries(m: WideMatrix) -> DataFrame:
 
 
 def _class_aggregates(m: WideMatrix, classes: list[int], with_squares: bool) -> DataFrame:
-    e = labelled_entries(m)
+    if m.scan is not None and "label" in m.scan.columns:
+        # Single scan: cells of rows outside the matrix are nulled; every spine
+        # column still forms a group (its train aggregates are null / zero).
+        e, val, inside = m.scan, F.when(F.col("__in"), F.col("value")), F.col("__in")
+    else:
+        e, val, inside = labelled_entries(m), F.col("value"), F.lit(True)
     aggs = [
-        F.count(F.lit(1)).alias("nnz"),
-        F.sum("value").alias("s"),
-        F.min("value").alias("mn"),
-        F.max("value").alias("mx"),
+        F.count(val).alias("nnz"),
+        F.sum(val).alias("s"),
+        F.min(val).alias("mn"),
+        F.max(val).alias("mx"),
     ]
     for i, c in enumerate(classes):
-        inc = F.col("label") == F.lit(c)
-        aggs += [
-            F.sum(F.when(inc, F.col("value"))).alias(f"s_{i}"),
-            F.count(F.when(inc, F.lit(1))).alias(f"nnz_{i}"),
-        ]
+        inc = inside & (F.col("label") == F.lit(c))
+        v = F.when(inc, F.col("value"))
+        aggs += [F.sum(v).alias(f"s_{i}"), F.count(v).alias(f"nnz_{i}")]
         if with_squares:
-            v = F.when(inc, F.col("value"))
             aggs += [F.min(v).alias(f"mn_{i}"), F.max(v).alias(f"mx_{i}"), F.var_pop(v).alias(f"v_{i}")]
     agg = e.groupBy("feature_id").agg(*aggs)
-    if m.columns is not None:
+    if m.columns is not None and not (m.scan is not None and "label" in m.scan.columns):
         agg = m.feature_spine().join(agg, "feature_id", "left")
     return agg
 

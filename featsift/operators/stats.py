@@ -15,19 +15,28 @@ from pyspark.sql import functions as F
 from featsift.operators.matrix import WideMatrix
 
 
+def stats_source(m: WideMatrix):
+    """(frame, value column) to aggregate per feature: the single-scan source with
+    cells outside the matrix nulled, or the entries."""
+    if m.scan is not None:
+        return m.scan, F.when(F.col("__in"), F.col("value"))
+    return m.entries, F.col("value")
+
+
 def column_moments(m: WideMatrix, n_rows: int | None = None) -> DataFrame:
     """feature_id, nnz, total, mean, var, std, min, max, any_negative (over the column spine)."""
     n = int(n_rows if n_rows is not None else m.n_rows())
-    agg = m.entries.groupBy("feature_id").agg(
-        F.count(F.lit(1)).alias("nnz"),
-        F.sum("value").alias("total"),
-        F.avg("value").alias("__m1"),
-        F.var_pop("value").alias("__v1"),
-        F.min("value").alias("__mn"),
-        F.max("value").alias("__mx"),
-        F.max((F.col("value") < 0).cast("int")).alias("__neg"),
+    src, v = stats_source(m)
+    agg = src.groupBy("feature_id").agg(
+        F.count(v).alias("nnz"),
+        F.sum(v).alias("total"),
+        F.avg(v).alias("__m1"),
+        F.var_pop(v).alias("__v1"),
+        F.min(v).alias("__mn"),
+        F.max(v).alias("__mx"),
+        F.max((v < 0).cast("int")).alias("__neg"),
     )
-    base = m.feature_spine().join(agg, "feature_id", "left") if m.columns is not None else agg
+    base = m.feature_spine().join(agg, "feature_id", "left") if (m.columns is not None and m.scan is None) else agg
     nnz = F.coalesce(F.col("nnz"), F.lit(0)).cast("long")
     n_lit = F.lit(float(n))
     m2 = F.when(nnz == 0, F.lit(0.0)).otherwise(
@@ -83,8 +92,9 @@ def constant_count(m: WideMatrix, n_rows: int | None = None) -> DataFrame:
 
 def negative_columns(m: WideMatrix) -> DataFrame:
     """Per column, whether any value is negative (implicit zeros never are)."""
-    mo = m.entries.groupBy("feature_id").agg(F.max((F.col("value") < 0).cast("int")).alias("__neg"))
-    base = m.feature_spine().join(mo, "feature_id", "left") if m.columns is not None else mo
+    src, v = stats_source(m)
+    mo = src.groupBy("feature_id").agg(F.max((v < 0).cast("int")).alias("__neg"))
+    base = m.feature_spine().join(mo, "feature_id", "left") if (m.columns is not None and m.scan is None) else mo
     return base.select("feature_id", (F.coalesce(F.col("__neg"), F.lit(0)) == 1).alias("has_negative"))
 
 

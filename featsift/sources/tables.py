@@ -74,8 +74,23 @@ def token_matrix(
         F.col("doc_id").alias("row_id"), F.col("token").alias("feature_id"), F.lit(1.0).alias("value"), *carry
     )
     rows = docs.select(F.col("doc_id").alias("row_id"), *(["label"] if part == "labelled" else []))
-    cols = token_columns(spark, sf_dir) if with_columns else None
-    return WideMatrix(entries=entries, rows=rows, columns=cols, label_col="label" if part == "labelled" else None)
+    scan = None
+    if with_columns and part == "labelled":
+        # Statistics read one tokenisation of all documents: the label rides along
+        # (null for test rows), so the column spine and the train cells come from
+        # the same scan and the same groupBy.  Gathers keep using ``entries``.
+        alld = spread(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left"))
+        scan = alld.select(
+            F.col("doc_id").alias("row_id"), "label",
+            F.explode(F.array_distinct(F.split(F.lower(F.col("text")), TOKEN_SPLIT))).alias("feature_id"),
+        ).where(F.col("feature_id") != "").select(
+            "row_id", "feature_id", F.lit(1.0).alias("value"), "label", F.col("label").isNotNull().alias("__in")
+        )
+        cols = scan.select("feature_id").distinct()
+    else:
+        cols = token_columns(spark, sf_dir) if with_columns else None
+    return WideMatrix(entries=entries, rows=rows, columns=cols, label_col="label" if part == "labelled" else None,
+                      scan=scan)
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str, binary: bool = False) -> WideMatrix:
