@@ -104,6 +104,14 @@ def negative_column_count(m: WideMatrix) -> DataFrame:
     return neg.agg(F.count(F.lit(1)).alias("n_negative_columns"))
 
 
+def assert_finite(m: WideMatrix) -> None:
+    """Ingest contract: no null, NaN or infinite cell (one filtered pass)."""
+    v = F.col("value")
+    bad = m.entries.where(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))).limit(1).count()
+    if bad:
+        raise ValueError("matrix holds null, NaN or infinite values")
+
+
 def assert_non_negative(m: WideMatrix) -> None:
     """Chi-square needs non-negative input; fail early with the count."""
     bad = m.entries.where(F.col("value") < 0).select("feature_id").distinct().count()

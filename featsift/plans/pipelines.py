@@ -34,6 +34,7 @@ class ScreeningConfig:
     layout: str = "rank"
     prefix: int | None = None  # P1 before anything else
     drop_constant_eps: float | None = None  # A3 before scoring (std > eps)
+    drop_constant_by_value: bool = False  # A4 before scoring (exact, zero-aware)
     scale: bool = True
     model: str = "logreg"  # logreg | forest | gbt
     model_params: dict = field(default_factory=dict)
@@ -62,8 +63,11 @@ def fit_screening(train: MX.WideMatrix, cfg: ScreeningConfig) -> FittedScreening
     m = train
     if cfg.prefix:
         m = MX.prefix_features(m, cfg.prefix)
-    if cfg.drop_constant_eps is not None:
-        kept = ST.nonconstant_features(m, cfg.drop_constant_eps)
+    if cfg.drop_constant_eps is not None or cfg.drop_constant_by_value:
+        if cfg.drop_constant_by_value:
+            kept = ST.constant_by_value(m).where(~F.col("is_constant")).select("feature_id")
+        else:
+            kept = ST.nonconstant_features(m, cfg.drop_constant_eps)
         m = MX.WideMatrix(
             entries=m.entries.join(kept, "feature_id", "left_semi"), rows=m.rows, columns=kept, label_col=m.label_col
         )

@@ -87,6 +87,11 @@ class _MatrixReader(DataSourceReader):
                 e = min(partition.end, s + batch_rows)
                 raw = fh.read((e - s) * d * item)
                 block = np.frombuffer(raw, dtype=self.h.dtype).astype(np.float64).reshape(e - s, d)
+                if not np.isfinite(block).all():
+                    # Contract: NaN / inf are rejected at ingest (statistics would
+                    # otherwise drop or keep such columns by accident).
+                    bad = np.argwhere(~np.isfinite(block))[0]
+                    raise ValueError(f"non-finite value at row {s + bad[0]}, column {bad[1]}")
                 r, c = np.nonzero(block)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r + s, pa.int64()), pa.array(c, pa.int64()), pa.array(block[r, c], pa.float64())],

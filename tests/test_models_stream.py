@@ -91,3 +91,14 @@ def test_gbt_mapping_warns():
     with pytest.warns(UserWarning):
         est = MD.gbt_from_xgb(MD.XGB_PRESETS["tall_3000"])
     assert est.getMaxIter() == 3000 and est.getMaxDepth() == 8 and est.getFeatureSubsetStrategy() == "0.8"
+
+
+def test_prefix_value_constancy_chain(spark):
+    """P1 -> A4 -> gather -> scale -> logistic regression, wide (sparse vectors, scale only)."""
+    cfg = PL.ScreeningConfig(None, 0, prefix=6000, drop_constant_by_value=True, model="logreg",
+                             model_params={"max_iter": 50})
+    train = T.token_matrix(spark, SF_SMALL)
+    fitted = PL.fit_screening(train, cfg)
+    assert fitted.width > 4096  # exercises the sparse vector path
+    test = T.token_matrix(spark, SF_SMALL, "unlabelled", with_columns=False)
+    assert PL.transform_screening(fitted, test).count() == test.rows.count()

@@ -61,3 +61,23 @@ def test_submission_sink(spark, tmp_path):
     sinks.write_submission(df, str(tmp_path / "sub"))
     back = spark.read.option("header", True).csv(str(tmp_path / "sub"))
     assert back.columns == ["id", "label"] and back.count() == 2
+
+
+def test_npy_rejects_nan(spark, tmp_path):
+    path = str(tmp_path / "nan.npz")
+    X = np.ones((5, 3))
+    X[2, 1] = np.nan
+    np.savez(path, X_train=X)
+    entries, _ = archive.ingest_archive(spark, path, labels=None, ids=None)
+    with pytest.raises(Exception):
+        entries.collect()
+
+
+def test_assert_finite(spark, f6):
+    from featsift.operators.matrix import WideMatrix
+    from featsift.operators.stats import assert_finite
+
+    assert_finite(f6)
+    bad = f6.entries.limit(1).withColumn("value", F.lit(float("nan")))
+    with pytest.raises(ValueError):
+        assert_finite(WideMatrix(entries=f6.entries.unionByName(bad), rows=f6.rows))
