@@ -22,6 +22,8 @@ from featsift.session import pin
 # Top-k with k at or below this uses Spark's TakeOrderedAndProject / WindowGroupLimit
 # (the final task sees at most partitions * k rows); above it the distributed rank.
 SMALL_K = 1000
+# ... and only while partitions * k stays below this many rows in that final task.
+SINGLE_MERGE_ROWS = 2_000_000
 
 _PID = "__pid"
 _MID = "__mid"
@@ -94,7 +96,10 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column | str], rank: str = "ran
     if k <= 0:
         raise ValueError("k must be positive")
     order_cols = _cols(order)
-    if k <= SMALL_K:
+    # Upper bound on the input's partitions without planning it (AQE only coalesces).
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
+                df.sparkSession.sparkContext.defaultParallelism)
+    if k <= SMALL_K and k * parts <= SINGLE_MERGE_ROWS:
         head = df.orderBy(*order_cols).limit(k)
         return head.withColumn(rank, F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
     return sequence_by(df, order_cols, rank).where(F.col(rank) <= k)
