@@ -191,3 +191,16 @@ def ingest_archive(spark, path: str, matrix: str = "X_train", labels: str | None
         if rows is not None:
             rows.write.mode("overwrite").parquet(f"{out}/rows")
     return entries, rows
+
+
+def read_matrix(spark, path: str, label: str = "label"):
+    """S1 over an ingested store: ``{path}/entries`` and ``{path}/rows`` Parquet
+    as a WideMatrix.  Filters on ``feature_id`` (prefix cut, gather by range)
+    reach the scan as pushed filters and prune row groups, since the entries
+    are written sorted by ``feature_id`` within files."""
+    from featsift.operators.matrix import WideMatrix
+
+    entries = spark.read.parquet(f"{path}/entries")
+    rows = spark.read.parquet(f"{path}/rows")
+    return WideMatrix(entries=entries, rows=rows.select("row_id", *([label] if label in rows.columns else [])),
+                      columns=None, label_col=label if label in rows.columns else None)
