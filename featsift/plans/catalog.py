@@ -2,7 +2,9 @@
 DuckDB twin where SQL can express it.  Every query reads the driver tables of
 ``sf_dir`` (or what Spark derives from them) in full.
 
-Floating outputs are rounded to six decimals on both sides.
+Floating outputs are rounded to six decimals on both sides; signed ones get
+``+ 0.0`` in SQL, since DuckDB keeps a negative zero after rounding and Spark
+does not.
 """
 
 from __future__ import annotations
@@ -183,7 +185,7 @@ def q_negative_column_count(spark, sf):
 
 @query(
     "scaler_fit",
-    O.with_(O.EMBEDDINGS, O.MOMENTS) + "SELECT feature_id, round(mean, 6) AS mean, round(std, 6) AS std FROM mom",
+    O.with_(O.EMBEDDINGS, O.MOMENTS) + "SELECT feature_id, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std FROM mom",
 )
 def q_scaler_fit(spark, sf):
     """Per-column mean and population std."""
@@ -546,7 +548,7 @@ def q_target_encode_count(spark, sf):
     "standardize",
     O.with_(O.EMBEDDINGS, O.MOMENTS)
     + """SELECT e.row_id, e.feature_id,
-  round((e.value - m.mean) / (CASE WHEN m.std = 0 THEN 1.0 ELSE m.std END), 6) AS value
+  round((e.value - m.mean) / (CASE WHEN m.std = 0 THEN 1.0 ELSE m.std END), 6) + 0.0 AS value
 FROM entries e JOIN mom m ON e.feature_id = m.feature_id""",
 )
 def q_standardize(spark, sf):

@@ -27,7 +27,7 @@ def _norm(v):
     if isinstance(v, bool):
         return ("b", v)
     if isinstance(v, (int, float)):
-        return ("f", float(v))
+        return ("f", repr(float(v)))  # strict: -0.0 differs from 0.0
     return ("s", str(v))
 
 
