@@ -29,7 +29,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large table arrives in many file splits and is left alone; a table that
     is a single row group (one task) is spread round-robin over the default
-    parallelism before the heavy projection.  No key, so no skew.
+    parallelism before the heavy projection.  No key, so no skew.  Call it on a
+    bare scan: counting the partitions of a scan is file listing only, while on
+    a plan with a join or shuffle it would execute those stages.
     """
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
@@ -47,9 +49,14 @@ def doc_tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of every document, spread before any join."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column spine of the token matrix: every token of every document (train and test)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = documents_text(spark, sf_dir)
     return doc_tokens(docs).select(F.col("token").alias("feature_id")).distinct()
 
 
@@ -57,7 +64,7 @@ def token_matrix(
     spark: SparkSession, sf_dir: str, part: str = "labelled", label: str = "toxic", with_columns: bool = True
 ) -> WideMatrix:
     """Token-presence matrix of the labelled (train), unlabelled (test) or all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents_text(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))
     if part == "labelled":
         docs = docs.join(labels, "doc_id")
@@ -65,7 +72,6 @@ def token_matrix(
         docs = docs.join(labels, "doc_id", "left_anti")
     elif part != "all":
         raise ValueError(part)
-    docs = spread(docs)
     carry = ["label"] if part == "labelled" else []
     tokens = docs.select(
         "doc_id", *carry, F.explode(F.array_distinct(F.split(F.lower(F.col("text")), TOKEN_SPLIT))).alias("token")
@@ -79,7 +85,7 @@ def token_matrix(
         # Statistics read one tokenisation of all documents: the label rides along
         # (null for test rows), so the column spine and the train cells come from
         # the same scan and the same groupBy.  Gathers keep using ``entries``.
-        alld = spread(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left"))
+        alld = documents_text(spark, sf_dir).join(labels, "doc_id", "left")
         scan = alld.select(
             F.col("doc_id").alias("row_id"), "label",
             F.explode(F.array_distinct(F.split(F.lower(F.col("text")), TOKEN_SPLIT))).alias("feature_id"),
