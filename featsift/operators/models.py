@@ -67,7 +67,9 @@ def right_size(vectors: DataFrame, n_rows: int, width: int) -> DataFrame:
     """
     est = n_rows * (width * 8 + 16)
     target = max(1, -(-est // TARGET_PARTITION_BYTES))
-    return vectors.coalesce(target) if target < vectors.rdd.getNumPartitions() else vectors
+    # coalesce never adds partitions, so a target above the current count is a no-op
+    # (and no plan has to be executed to learn that count).
+    return vectors.coalesce(int(target))
 
 
 def random_forest(num_trees: int = 200, max_depth: int = 20, min_leaf: int = 2, seed: int = 42,
