@@ -25,8 +25,27 @@ def n_test_rows(n: int, test_size: float) -> int:
     return int(math.ceil(test_size * n))
 
 
-def split_random(rows: DataFrame, test_size: float = 0.15, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """K1: adds ``split`` = 'test' for the first ceil(f*n) rows of the hash order, else 'train'."""
+HASH_BUCKETS = 1_000_000
+
+
+def split_hash(rows: DataFrame, test_size: float = 0.15, seed: int = 42, key: str = "row_id",
+               label: str | None = None) -> DataFrame:
+    """K1/K2 without a sort: a row is test when its hash bucket falls under
+    ``test_size``.  No shuffle at all; sizes (and, with ``label``, class ratios)
+    are right only in expectation.  For row counts where ranking every id is
+    too costly; the exact splits are the default."""
+    keys = [F.lit(seed), F.col(key)] + ([F.col(label)] if label else [])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(HASH_BUCKETS))
+    cut = F.lit(int(round(test_size * HASH_BUCKETS)))
+    return rows.withColumn("split", F.when(bucket < cut, "test").otherwise("train"))
+
+
+def split_random(rows: DataFrame, test_size: float = 0.15, seed: int = 42, key: str = "row_id",
+                 exact: bool = True) -> DataFrame:
+    """K1: adds ``split`` = 'test' for the first ceil(f*n) rows of the hash order, else 'train'
+    (``exact=False``: ``split_hash``, no sort, approximate size)."""
+    if not exact:
+        return split_hash(rows, test_size, seed, key)
     n = rows.count()
     n_test = n_test_rows(n, test_size)
     ranked = sequence_by(rows.withColumn("__h", _hash(seed, key)), [F.col("__h"), F.col(key)], "__r")

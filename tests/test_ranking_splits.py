@@ -62,3 +62,16 @@ def test_stratified_quotas_and_ratio(spark, data):
 
 def test_stratified_quota_example():
     assert SP.stratified_quotas({0: 348, 1: 51}, 0.2) == {0: 70, 1: 10}
+
+
+def test_hash_split_is_shuffle_free_and_close(spark, data):
+    rows = data.select(F.col("id").alias("row_id"))
+    s = SP.split_random(rows, 0.2, 42, exact=False)
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(s) == exchanges(rows)  # the split adds no shuffle
+    n_test = s.where("split = 'test'").count()
+    assert abs(n_test - 400) < 80
+    again = {r.row_id: r.split for r in SP.split_random(rows, 0.2, 42, exact=False).collect()}
+    assert again == {r.row_id: r.split for r in s.collect()}
