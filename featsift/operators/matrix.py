@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featsift.operators.ranking import SMALL_K, top_k
+from featsift.operators.ranking import top_k
 
 # Fitted tables with at most this many rows are broadcast by the operators; a
 # larger (or unknown) side is left to the planner, where AQE broadcasts it only
@@ -197,5 +197,4 @@ __all__ = [
     "to_vectors",
     "row_range",
     "from_dense",
-    "SMALL_K",
 ]

@@ -259,8 +259,6 @@ def _metadata_vectors(train: DataFrame, test_frames: dict[str, DataFrame], cols:
 def metadata_model_accuracy(spark: SparkSession, sf_dir: str, rounds: int = 30, seed: int = 42) -> DataFrame:
     """Metadata only: fill -> top-2 collapse -> one-hot aligned to train ->
     stratified 80/20 -> boosted trees -> predicted class -> accuracy on both parts."""
-    from featsift.operators import metrics as ME
-
     cols = ["lang", "source"]
     meta = EN.fill_missing(T.document_metadata(spark, sf_dir, "labelled"), cols)
     split = SP.split_stratified(meta.select(F.col("ID").alias("row_id"), "label"), "label", 0.2, seed)
@@ -284,8 +282,6 @@ def three_way_report(spark: SparkSession, sf_dir: str, rounds: int = 30, patienc
     stopping on valid -> accuracy and log loss on valid and test (p > 0.5)."""
     from pyspark.ml.feature import VectorAssembler
 
-    from featsift.operators import metrics as ME
-
     cols = ["lang", "source"]
     meta = EN.fill_missing(T.document_metadata(spark, sf_dir, "labelled"), cols)
     parts = SP.split_three_way(meta.select(F.col("ID").alias("row_id"), "label"), "label", seed)
