@@ -89,3 +89,18 @@ def test_auc_property(spark, pairs):
     neg = [p for p, y in pairs if y == 0]
     brute = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg) / (len(pos) * len(neg))
     assert roc_auc(df, "label", "p").first()[0] == pytest.approx(brute)
+
+
+def test_anova_matches_jvm_anovatest(spark):
+    """F and p values against org.apache.spark.ml.stat.ANOVATest (not exposed in pyspark.ml.stat)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import DataFrame
+
+    emb = T.table(spark, SF_SMALL, "embeddings")
+    vec = emb.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                     F.col("label").cast("double").alias("label"))
+    res = DataFrame(spark._jvm.org.apache.spark.ml.stat.ANOVATest.test(vec._jdf, "features", "label"), spark).first()
+    ours = {r.feature_id: r for r in SC.anova_pvalue(T.embedding_matrix(spark, SF_SMALL)).collect()}
+    for j in range(len(res.fValues)):
+        assert ours[j].f_score == pytest.approx(res.fValues[j], rel=1e-6)
+        assert ours[j].p_value == pytest.approx(res.pValues[j], rel=1e-5, abs=1e-12)
