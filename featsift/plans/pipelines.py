@@ -177,7 +177,8 @@ def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "tar
         asm = VectorAssembler(inputCols=cols, outputCol="__meta")
         mtr = asm.transform(enc_tr).select(F.col("ID").alias("row_id"), "label", F.col("__meta").alias("features"))
         mte = asm.transform(enc_te).select(F.col("ID").alias("row_id"), F.col("__meta").alias("features"))
-        sc = SCL.vector_fit(mtr)
+        # Scaler fitted on the train split only (no leakage into the validation rows).
+        sc = SCL.vector_fit(mtr.join(split.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi"))
         mtr, mte = SCL.standardize_vectors(mtr, sc), SCL.standardize_vectors(mte, sc)
         red_w, meta_w = 1.0, 1.0
     elif encoding == "onehot":
