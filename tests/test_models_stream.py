@@ -102,3 +102,13 @@ def test_prefix_value_constancy_chain(spark):
     assert fitted.width > 4096  # exercises the sparse vector path
     test = T.token_matrix(spark, SF_SMALL, "unlabelled", with_columns=False)
     assert PL.transform_screening(fitted, test).count() == test.rows.count()
+
+
+def test_cli_writes_submission(spark, tmp_path):
+    from featsift.plans import run
+
+    out = str(tmp_path / "sub")
+    run.main(["--tables", SF_SMALL, "--out", out, "--chain", "screen-logreg", "--k", "100"])
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == ["id", "label"]
+    assert back.count() == T.token_matrix(spark, SF_SMALL, "unlabelled", with_columns=False).rows.count()
