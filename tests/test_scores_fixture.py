@@ -85,3 +85,18 @@ def test_row_without_selected_entries_survives(f6):
     sparse = {r.row_id: r.features for r in MX.to_vectors(g, width, sparse=True).collect()}
     assert sparse[3].numNonzeros() == 0
     assert sparse[0].toArray().tolist() == vec[0]
+
+
+def test_k_larger_than_columns(f6):
+    f = SC.anova_f(f6)
+    for k in (10, 5000):  # small path and distributed path
+        sel = SE.select_top_k(f, k, "f_score")
+        got = [r.feature_id for r in sel.orderBy("rank").collect()]
+        assert got[:2] == [3, 0] and len(got) == 6
+        assert sorted(r.new_index for r in sel.collect()) == list(range(6))
+
+
+def test_anova_needs_two_classes(spark, f6):
+    one = MX.WideMatrix(entries=f6.entries, rows=f6.rows.withColumn("label", F.lit(1)))
+    with pytest.raises(ValueError):
+        SC.anova_f(one)
