@@ -797,9 +797,10 @@ def q_forest_score(spark, sf):
 
 @query("gbt_score")
 def q_gbt_score(spark, sf):
-    """L3/L4: prefix 10k columns -> std > 1e-12 -> variance top-2000 (ascending layout) -> scale -> boosted trees."""
+    """L3/L4: prefix 100,000 columns -> std > 1e-12 -> variance top-20,000 (ascending layout) -> scale ->
+    boosted trees (the reference chain's widths; 20 rounds)."""
     params = dict(MD_PRESET_SMALL)
-    cfg = PL.ScreeningConfig("variance", 2000, layout="ascending", prefix=10_000, drop_constant_eps=1e-12,
+    cfg = PL.ScreeningConfig("variance", 20_000, layout="ascending", prefix=100_000, drop_constant_eps=1e-12,
                              model="gbt", model_params=params)
     fitted, test = _screen(spark, sf, cfg)
     return _scored_out(PL.transform_screening(fitted, test))
@@ -811,9 +812,9 @@ MD_PRESET_SMALL = dict(n_estimators=20, learning_rate=0.1, max_depth=4, subsampl
 
 @query("gbt_early_stop")
 def q_gbt_early_stop(spark, sf):
-    """Prefix 5,000 columns -> std > 0 -> scale -> 85/15 hold-out -> boosted trees, patience 5 -> test scores."""
+    """Every column with std > 0 -> scale -> 85/15 hold-out -> boosted trees, patience 5 -> test scores."""
     params = dict(MD_PRESET_SMALL, n_estimators=30)
-    cfg = PL.ScreeningConfig(None, 0, prefix=5000, drop_constant_eps=0.0, model="gbt", model_params=params,
+    cfg = PL.ScreeningConfig(None, 0, drop_constant_eps=0.0, model="gbt", model_params=params,
                              holdout=0.15, patience=5)
     fitted, test = _screen(spark, sf, cfg)
     return _scored_out(PL.transform_screening(fitted, test)).withColumn("best_rounds", F.lit(fitted.best_rounds))
