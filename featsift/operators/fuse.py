@@ -56,18 +56,20 @@ def union_chunks(chunks: list[DataFrame]) -> DataFrame:
 
 
 def split_report(all_rows: DataFrame, train: DataFrame, test: DataFrame, key: str = "row_id") -> DataFrame:
-    """train = all - test; sizes plus overlap and coverage checks."""
-    a, tr, te = all_rows.select(key), train.select(key), test.select(key)
-    overlap = tr.intersect(te).agg(F.count(F.lit(1)).alias("n_overlap"))
-    missing = a.exceptAll(tr.unionByName(te)).agg(F.count(F.lit(1)).alias("n_uncovered"))
-    sizes = [
-        a.agg(F.count(F.lit(1)).alias("n_total")),
-        tr.agg(F.count(F.lit(1)).alias("n_train")),
-        te.agg(F.count(F.lit(1)).alias("n_test")),
-        overlap,
-        missing,
-    ]
-    out = sizes[0].withColumn("__k", F.lit(1))
-    for s in sizes[1:]:
-        out = out.join(s.withColumn("__k", F.lit(1)), "__k")
-    return out.drop("__k")
+    """train = all - test; sizes plus overlap and coverage checks.
+
+    One ``groupBy(key)`` over the tagged union (multiset semantics as
+    ``intersect`` / ``exceptAll``), then one aggregate: no join."""
+    tagged = (
+        all_rows.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__tr"), F.lit(0).alias("__te"))
+        .unionByName(train.select(key, F.lit(0).alias("__a"), F.lit(1).alias("__tr"), F.lit(0).alias("__te")))
+        .unionByName(test.select(key, F.lit(0).alias("__a"), F.lit(0).alias("__tr"), F.lit(1).alias("__te")))
+    )
+    per_key = tagged.groupBy(key).agg(F.sum("__a").alias("a"), F.sum("__tr").alias("tr"), F.sum("__te").alias("te"))
+    return per_key.agg(
+        F.sum("a").cast("long").alias("n_total"),
+        F.sum("tr").cast("long").alias("n_train"),
+        F.sum("te").cast("long").alias("n_test"),
+        F.count_if((F.col("tr") > 0) & (F.col("te") > 0)).cast("long").alias("n_overlap"),
+        F.sum(F.greatest(F.col("a") - F.col("tr") - F.col("te"), F.lit(0))).cast("long").alias("n_uncovered"),
+    )

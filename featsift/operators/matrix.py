@@ -70,21 +70,20 @@ def join_fitted(big: DataFrame, fitted: DataFrame, on, how: str = "inner", bound
 
 def shape(m: WideMatrix) -> DataFrame:
     """Rows, columns and stored entries."""
-    n_rows = m.rows.select(F.count_distinct("row_id").alias("n_rows"))
+    # The row count is one number, inlined; the rest is one aggregate.
+    n_rows = m.rows.select(F.count_distinct("row_id")).first()[0]
     if m.scan is not None:
         # One pass over the single-scan source: spine width and the matrix's cells.
-        both = m.scan.agg(
-            F.count_distinct("feature_id").alias("n_columns"), F.count_if(F.col("__in")).cast("long").alias("n_entries")
+        return m.scan.agg(
+            F.lit(n_rows).cast("long").alias("n_rows"),
+            F.count_distinct("feature_id").alias("n_columns"),
+            F.count_if(F.col("__in")).cast("long").alias("n_entries"),
         )
-        return n_rows.withColumn("__k", F.lit(1)).join(both.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    n_cols = m.feature_spine().select(F.count_distinct("feature_id").alias("n_columns"))
-    nnz = m.entries.select(F.count(F.lit(1)).alias("n_entries"))
-    # Three one-row aggregates side by side (equi-join on a constant key).
-    return (
-        n_rows.withColumn("__k", F.lit(1))
-        .join(n_cols.withColumn("__k", F.lit(1)), "__k")
-        .join(nnz.withColumn("__k", F.lit(1)), "__k")
-        .drop("__k")
+    nnz = m.entries.count()
+    return m.feature_spine().agg(
+        F.lit(n_rows).cast("long").alias("n_rows"),
+        F.count_distinct("feature_id").alias("n_columns"),
+        F.lit(nnz).cast("long").alias("n_entries"),
     )
 
 

@@ -49,14 +49,14 @@ def standardize_vectors(vectors: DataFrame, fit: DataFrame, col: str = "features
     broadcast (its size is the vector width)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    j = vectors.withColumn("__k", F.lit(1)).join(F.broadcast(fit.withColumn("__k", F.lit(1))), "__k")
-    scaled = F.zip_with(
-        F.zip_with(vector_to_array(F.col(col)), F.col("mean"), lambda x, mu: x - mu),
-        F.col("std"),
-        lambda d, s: d / F.when(s == 0, F.lit(1.0)).otherwise(s),
-    )
+    # The fit is one row of two arrays of the vector width (at most DENSE_MAX_WIDTH
+    # when centring): inlined as array literals rather than joined to every row.
+    row = fit.first()
+    mean = F.lit([float(x) for x in row["mean"]])
+    std = F.lit([float(x) if x != 0 else 1.0 for x in row["std"]])
+    scaled = F.zip_with(F.zip_with(vector_to_array(F.col(col)), mean, lambda x, mu: x - mu), std, lambda d, s: d / s)
     keep = [c for c in vectors.columns if c != col]
-    return j.select(*keep, array_to_vector(scaled).alias(out))
+    return vectors.select(*keep, array_to_vector(scaled).alias(out))
 
 
 def weight_block(m: WideMatrix, weight: float, n_cols: int) -> WideMatrix:

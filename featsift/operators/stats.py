@@ -141,6 +141,6 @@ def target_stats(df: DataFrame, cols: list[str], label: str = "label") -> DataFr
     stats = long.groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("__y").alias("y_sum"), F.avg("__y").alias("y_mean")
     )
-    prior = df.agg(F.avg(F.col(label).cast("double")).alias("prior"))
-    # The prior is one row: an equi-join on a constant key, broadcast.
-    return stats.withColumn("__k", F.lit(1)).join(F.broadcast(prior.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    # The prior is one number: computed once, inlined as a literal.
+    prior = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return stats.withColumn("prior", F.lit(prior).cast("double"))
