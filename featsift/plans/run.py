@@ -1,7 +1,8 @@
 """Run a chain end to end and write the ``id,label`` CSV (what the reference's
 scripts do), e.g.::
 
-    spark-submit -m featsift.plans.run --tables /data/sf1 --out /shared/sub --chain screen-logreg
+    zip -r featsift.zip featsift
+    spark-submit --py-files featsift.zip featsift/plans/run.py --tables /data/sf1 --out /shared/sub --chain screen-logreg
     python -m featsift.plans.run --tables /root/testdata/sf0.01 --out /tmp/sub --chain fused-target
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so cluster
@@ -63,4 +64,9 @@ def main(argv: list[str] | None = None) -> None:
 
 
 if __name__ == "__main__":
+    import os
+    import sys
+
+    # Also runnable as a plain script (spark-submit path) from a source checkout.
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     main()
