@@ -14,6 +14,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import sys
+
+if __package__ in (None, ""):  # run as a script (spark-submit path) from a source checkout
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +69,4 @@ def main(argv: list[str] | None = None) -> None:
 
 
 if __name__ == "__main__":
-    import os
-    import sys
-
-    # Also runnable as a plain script (spark-submit path) from a source checkout.
-    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     main()
