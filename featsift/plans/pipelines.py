@@ -98,7 +98,7 @@ def fit_screening(train: MX.WideMatrix, cfg: ScreeningConfig) -> FittedScreening
         if part is not train_part:
             part.unpersist()
     elif cfg.model == "forest":
-        fitted.model = MD.random_forest(**cfg.model_params).fit(train_part)
+        fitted.model = MD.random_forest(**{"seed": cfg.seed, **cfg.model_params}).fit(train_part)
     elif cfg.model == "gbt":
         est = MD.gbt_from_xgb(cfg.model_params, seed=cfg.seed)
         if valid_part is not None and cfg.patience:

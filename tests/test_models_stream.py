@@ -112,3 +112,15 @@ def test_cli_writes_submission(spark, tmp_path):
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["id", "label"]
     assert back.count() == T.token_matrix(spark, SF_SMALL, "unlabelled", with_columns=False).rows.count()
+
+
+@pytest.mark.parametrize("model,params", [("forest", {"num_trees": 10, "max_depth": 5}),
+                                          ("gbt", {"n_estimators": 5, "max_depth": 3, "subsample": 0.8})])
+def test_models_deterministic_under_seed(spark, model, params):
+    train = T.token_matrix(spark, SF_SMALL)
+    test = T.token_matrix(spark, SF_SMALL, "unlabelled", with_columns=False)
+    runs = []
+    for _ in range(2):
+        fitted = PL.fit_screening(train, PL.ScreeningConfig("anova_f", 200, model=model, model_params=params, seed=7))
+        runs.append({r.row_id: r.p for r in PL.transform_screening(fitted, test).collect()})
+    assert runs[0] == runs[1]
