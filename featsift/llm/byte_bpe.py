@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 LONG_WORD = 64
 WORDS_AT_ONCE = 40_000
-CACHED = 250_000  # pieces of text remembered by a worker
-BATCH_CHARS = 4_000_000
+CACHED = 600_000  # pieces of text, and as many words, remembered by a worker
+BATCH_CHARS = 8_000_000
 
 # One contraction: position rows of each word, their pairs' ranks, the leftmost least.
 _STEP = """
@@ -55,6 +55,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def _column(db: duckdb.DuckDBPyConnection, query: str) -> pa.ListArray:
+    column = db.sql(query).to_arrow_table().column(0).combine_chunks()
+    values = column.values.cast(pa.binary()) if pa.types.is_large_binary(column.values.type) else column.values
+    return pa.ListArray.from_arrays(column.offsets.cast(pa.int32()), values)
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -66,15 +72,18 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         self._table("merges", {"ab": pa.array([p[0] for p in pairs], pa.int64()), "id": pa.array([p[1] for p in pairs], pa.int32())})
         self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # Ids, as little-endian 32-bit numbers, and decoded bytes of words and of pieces.
+        self.ids: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.piece_ids: dict[str, bytes] = {}
+        self.piece_plain: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         given = pa.table(columns)  # noqa: F841  read by the query below
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
 
-    def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit numbers, decoded bytes) of distinct words."""
-        out: dict[str, tuple[bytes, bytes]] = {}
+    def words(self, words: list[str]) -> None:
+        """Learn the ids and the decoded bytes of distinct words."""
         raw = [w.encode() for w in words]
         for query, some in ((_ENCODE, [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]), (_ENCODE_LONG, [i for i, b in enumerate(raw) if len(b) > LONG_WORD])):
             for lo in range(0, len(some), WORDS_AT_ONCE):
@@ -84,11 +93,15 @@ class Codec:
                 self._table("words", {"w": pa.array(part, pa.int32()), "l": pa.array(lists, pa.list_(pa.int32()))})
                 self.db.execute(f"CREATE OR REPLACE TABLE encoded AS {query}")
                 # Both results come in order of w, so their rows belong together.
-                ids = self.db.execute("SELECT l FROM encoded ORDER BY w").fetchall()
-                texts = self.db.execute(f"SELECT b FROM ({_DECODE}) ORDER BY w").fetchall()
-                for i, (l,), (b,) in zip(part, ids, texts, strict=True):
-                    out[words[i]] = (b"".join([x.to_bytes(4, "little") for x in l]), b"".join(b))
-        return out
+                ids = _column(self.db, "SELECT l FROM encoded ORDER BY w")
+                texts = _column(self.db, f"SELECT b FROM ({_DECODE}) ORDER BY w")
+                names = [words[i] for i in part]
+                tokens, at = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+                self.ids.update(zip(names, (tokens[i:j] for i, j in zip(at, at[1:]))))
+                # The bytes of a word's tokens lie one after the other.
+                ends = np.frombuffer(texts.values.buffers()[1], dtype=np.int32)[texts.offsets.to_numpy()].tolist()
+                plain = texts.values.buffers()[2].to_pybytes()
+                self.plain.update(zip(names, (plain[i:j] for i, j in zip(ends, ends[1:]))))
 
     def split(self, text: str) -> list[str]:
         if self.after_space(text):
@@ -98,18 +111,20 @@ class Codec:
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """The ids and the decoded bytes of each text."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+        for memories in ((self.ids, self.plain), (self.piece_ids, self.piece_plain)):
+            if len(memories[0]) > CACHED:
+                for memory in memories:
+                    memory.clear()
         split = [self.split(t) for t in texts]
-        new = [p for p in set().union(*split) if p not in self.known]
+        new = [p for p in set().union(*split) if p not in self.piece_ids]
         found = [self.words_of(p) for p in new]
-        coded = self.words(sorted(set().union(*found)))
-        for piece, words in zip(new, found):
-            self.known[piece] = (b"".join([coded[w][0] for w in words]), b"".join([coded[w][1] for w in words]))
-        known = self.known
+        self.words(sorted(w for w in set().union(*found) if w not in self.ids))
+        ids, plain = self.ids.__getitem__, self.plain.__getitem__
+        self.piece_ids.update((p, b"".join(map(ids, words))) for p, words in zip(new, found))
+        self.piece_plain.update((p, b"".join(map(plain, words))) for p, words in zip(new, found))
+        ids, plain = self.piece_ids.__getitem__, self.piece_plain.__getitem__
         for pieces in split:
-            both = [known[p] for p in pieces]
-            yield b"".join([x[0] for x in both]), b"".join([x[1] for x in both])
+            yield b"".join(map(ids, pieces)), b"".join(map(plain, pieces))
 
 
 _WORKER: dict[str, Codec] = {}
