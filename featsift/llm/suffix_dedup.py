@@ -40,9 +40,9 @@ from featsift.llm.common import body, complete_groups, given_id, real_id, stored
 
 LENGTH = 400
 GRAM = 64  # a power of two
-FILE_ROWS = 4096
+FILE_ROWS = 2048
 _CHUNK = 2_000_000  # bytes hashed at once
-_BLOCK = 3_000_000  # bytes of a suffix array
+_BLOCK = 1_500_000  # bytes of files taken together for a suffix array
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -58,6 +58,26 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each place: the powers of two that
+    make up ``length``, each hashed by doubling and added one after the other."""
+    table = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 256, dtype=np.uint64)
+    n = len(data) - length + 1
+    h, width, factor, done = table[data], 1, 0xC2B2AE3D27D4EB4F, 0
+    total = np.zeros(max(n, 0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        while n > 0:
+            if length & width:
+                total = total * np.uint64(factor) + h[done:done + n]
+                done += width
+            if done == length:
+                break
+            h = h[:-width] * np.uint64(factor) + h[width:]
+            factor = factor * factor % 2**64
+            width *= 2
+    return total
+
+
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     """The smallest of ``width`` hashes from each place."""
     reach, low = 1, h
@@ -219,7 +239,7 @@ def _found(n: int, **columns) -> pa.RecordBatch:
 def _arrays(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Occurrences (d, t, start, size, array, lo = place in the array), groups (size,
     array, lo, hi) and, of files over the limit, the segments as they came."""
-    for whole, table in complete_groups(batches, "file", limit, block=4000):
+    for whole, table in complete_groups(batches, "file", limit, block=3000):
         if not whole:
             yield _found(table.num_rows, **{c: table.column(c).combine_chunks() for c in ("d", "t", "file", "segment", "windows")}, start=table.column("start").combine_chunks().cast(pa.int64()))
             continue
@@ -237,14 +257,30 @@ def _arrays(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Itera
             yield from _one_array(table.slice(lo, hi - lo), texts[lo:hi], sizes[lo:hi], length)
 
 
-def _one_array(table: pa.Table, texts: list[bytes], sizes: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _laid_out(texts: list[bytes], sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Begin of each text in the joined bytes, the bytes, and owner and place of all windows."""
     begin = np.r_[0, np.cumsum(sizes)[:-1]]
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    end = np.repeat(begin + sizes, sizes)
-    windows = table.column("windows").to_numpy()
     owner = np.repeat(np.arange(len(texts)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
-    wanted = begin[owner] + offset
+    return begin, np.frombuffer(b"".join(texts), dtype=np.uint8), owner, begin[owner] + offset
+
+
+def _one_array(table: pa.Table, texts: list[bytes], sizes: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    begin, data, owner, wanted = _laid_out(texts, sizes, table.column("windows").to_numpy())
+    # A window without an equal one here is in no interval: only the others, and
+    # the segments that hold them, enter the suffix array.
+    hashed = window_hashes(data, length)[wanted]
+    _, kind, count = np.unique(hashed, return_inverse=True, return_counts=True)
+    shared = count[kind] > 1
+    if not shared.any():
+        return
+    live = np.unique(owner[shared])
+    at = wanted[shared] - begin[owner[shared]]
+    owner = np.searchsorted(live, owner[shared])
+    table, texts, sizes = table.take(pa.array(live)), [texts[i] for i in live], sizes[live]
+    begin, data, _, _ = _laid_out(texts, sizes, np.zeros(len(texts), dtype=np.int64))
+    wanted = begin[owner] + at
+    end = np.repeat(begin + sizes, sizes)
     order, common = suffix_array(data, end, wanted, int(sizes.max()))
     whose = np.empty(len(data), dtype=np.int64)
     whose[wanted] = owner
