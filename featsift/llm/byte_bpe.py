@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 LONG_WORD = 64
 WORDS_AT_ONCE = 40_000
-CACHED = 600_000  # pieces of text, and as many words, remembered by a worker
-BATCH_CHARS = 8_000_000
+CACHED = 400_000  # pieces of text, and as many words, remembered by a worker
+BATCH_CHARS = 6_000_000
 
 # One contraction: position rows of each word, their pairs' ranks, the leftmost least.
 _STEP = """
@@ -109,12 +109,16 @@ class Codec:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids and the decoded bytes of each text."""
+    def forget(self, most: int = 0) -> None:
+        """Drop what is remembered beyond ``most`` entries; a task ends with nothing held."""
         for memories in ((self.ids, self.plain), (self.piece_ids, self.piece_plain)):
-            if len(memories[0]) > CACHED:
+            if len(memories[0]) > most:
                 for memory in memories:
                     memory.clear()
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids and the decoded bytes of each text."""
+        self.forget(CACHED)
         split = [self.split(t) for t in texts]
         new = [p for p in set().union(*split) if p not in self.piece_ids]
         found = [self.words_of(p) for p in new]
@@ -175,5 +179,6 @@ def encode(docs: DataFrame, path: str, pattern: str, full: bool = True) -> DataF
                     yield rows(ids, texts)
                     ids, texts, chars = [], [], 0
             yield rows(ids, texts)
+        codec.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(coded, T.StructType(fields))
