@@ -121,7 +121,7 @@ def drop_features(m: WideMatrix, dropped: DataFrame, bound_rows: int | None = No
 # DENSE_BUILD_MAX_WIDTH the vector is built sparse instead: an Arrow-batched UDF
 # wraps the JVM-sorted index/value arrays (measured faster from ~500 columns).
 DENSE_BUILD_MAX_WIDTH = 64
-# Centring densifies: the scaler centres only up to this width, else scales only.
+# Up to this width training vectors count as dense when partitions are sized.
 DENSE_MAX_WIDTH = 4096
 
 

@@ -90,6 +90,8 @@ def gbt_from_xgb(params: dict, seed: int = 42, features: str = "features", label
     (4 rows per unit), gamma -> minInfoGain (another scale).  reg_lambda /
     reg_alpha have no equivalent: a warning names them.
     """
+    if int(params.get("max_depth", 6)) > 30:
+        raise ValueError("Spark grows trees to depth 30 at most")
     unsupported = [k for k in ("reg_lambda", "reg_alpha") if params.get(k)]
     if unsupported:
         warnings.warn(f"GBTClassifier has no leaf penalty: ignoring {unsupported}", stacklevel=2)
@@ -99,7 +101,7 @@ def gbt_from_xgb(params: dict, seed: int = 42, features: str = "features", label
         labelCol=label,
         maxIter=int(params.get("n_estimators", 100)),
         stepSize=float(params.get("learning_rate", 0.1)),
-        maxDepth=min(int(params.get("max_depth", 6)), 30),
+        maxDepth=int(params.get("max_depth", 6)),
         subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy="all" if col >= 1.0 else str(col),
         minInstancesPerNode=max(1, int(round(4 * params.get("min_child_weight", 0.25)))),

@@ -72,29 +72,24 @@ class PopulationScaler:
 
     * ``center=True`` (narrow, dense vectors): ``(x - mean) / std`` from
       ``vector_fit`` arrays, JVM-side ``zip_with``.
-    * ``center=False`` (wide, sparse vectors): Spark's ``StandardScaler``
-      (``withMean=False`` keeps vectors sparse; it divides by the sample std),
-      then one ``ElementwiseProduct`` by ``sqrt(N / (N - 1))`` to get the
-      population std.  Zero-std columns map to 0.
+    * ``center=False`` (wide, sparse vectors): one ``ElementwiseProduct`` by
+      ``1 / std``, which keeps vectors sparse.
+    * Either way a zero std divides by one: a column that is constant in the
+      rows fitted keeps its (centred) value in other rows.
     """
 
     def __init__(self, center: bool = True, col: str = "features"):
         self.center, self.col = center, col
         self._fit = None
-        self._model = None
-        self._factor = 1.0
-        self._width = 0
+        self._scale: list[float] = []
 
     def fit(self, vectors: DataFrame) -> "PopulationScaler":
         if self.center:
             self._fit = vector_fit(vectors, self.col).cache()
             return self
-        from pyspark.ml.feature import StandardScaler
-
-        self._model = StandardScaler(withMean=False, withStd=True, inputCol=self.col, outputCol="__scaled").fit(vectors)
-        n = vectors.count()
-        self._factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-        self._width = len(self._model.std)
+        row = vector_fit(vectors, self.col).first()
+        # One vector of the selected width, as a fitted model holds it.
+        self._scale = [1.0 / s if s else 1.0 for s in row["std"]]
         return self
 
     def transform(self, vectors: DataFrame) -> DataFrame:
@@ -103,7 +98,5 @@ class PopulationScaler:
         from pyspark.ml.feature import ElementwiseProduct
         from pyspark.ml.linalg import Vectors
 
-        out = self._model.transform(vectors)
-        ep = ElementwiseProduct(scalingVec=Vectors.dense([self._factor] * self._width), inputCol="__scaled",
-                                outputCol="__scaled2")
-        return ep.transform(out).drop(self.col, "__scaled").withColumnRenamed("__scaled2", self.col)
+        ep = ElementwiseProduct(scalingVec=Vectors.dense(self._scale), inputCol=self.col, outputCol="__scaled")
+        return ep.transform(vectors).drop(self.col).withColumnRenamed("__scaled", self.col)

@@ -110,8 +110,9 @@ def anova_pvalue(m: WideMatrix, class_counts: dict[int, int] | None = None) -> D
     return f.select("feature_id", "f_score", f_pvalue(F.col("f_score"), k - 1, n - k).alias("p_value"))
 
 
-def chi2_score(m: WideMatrix, class_counts: dict[int, int] | None = None) -> DataFrame:
-    """A10: (feature_id, chi2) for every column of the spine; inputs must be non-negative."""
+def chi2_score(m: WideMatrix, class_counts: dict[int, int] | None = None, reject_negative: bool = False) -> DataFrame:
+    """A10: (feature_id, chi2) for every column of the spine; inputs must be non-negative.
+    ``reject_negative``: a negative cell fails the query (the registered scorer sets it)."""
     cc = class_counts or m.class_counts()
     classes = list(cc)
     n = float(sum(cc.values()))
@@ -122,7 +123,11 @@ def chi2_score(m: WideMatrix, class_counts: dict[int, int] | None = None) -> Dat
         obs = F.coalesce(F.col(f"s_{i}"), F.lit(0.0))
         exp = F.lit(float(cc[c])) / F.lit(n) * t
         total = total + (obs - exp) * (obs - exp) / exp
+    # P12 without a pass of its own: a negative cell fails the query.
+    negative = F.raise_error(F.concat(F.lit("chi2 needs non-negative values: column "), F.col("feature_id").cast("string"))).cast("double")
     score = F.when(t == 0, F.lit(None).cast("double")).otherwise(total)
+    if reject_negative:
+        score = F.when(F.col("mn") < 0, negative).otherwise(score)
     return agg.select("feature_id", score.alias("chi2"))
 
 
@@ -150,7 +155,7 @@ SCORERS: dict[str, Callable[[WideMatrix], DataFrame]] = {
     "variance": _variance_scorer,
     "std": _std_scorer,
     "anova_f": lambda m: anova_f(m).withColumnRenamed("f_score", "score"),
-    "chi2": lambda m: chi2_score(m).withColumnRenamed("chi2", "score"),
+    "chi2": lambda m: chi2_score(m, reject_negative=True).withColumnRenamed("chi2", "score"),
 }
 
 

@@ -26,6 +26,7 @@ def n_test_rows(n: int, test_size: float) -> int:
 
 
 HASH_BUCKETS = 1_000_000
+MAX_CLASSES = 10_000
 
 
 def split_hash(rows: DataFrame, test_size: float = 0.15, seed: int = 42, key: str = "row_id",
@@ -70,8 +71,9 @@ def stratified_quotas(class_counts: dict[int, int], test_size: float) -> dict[in
 def split_stratified(rows: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
                      key: str = "row_id", names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """K2: per-class exact quotas; the first quota rows of each class's hash order are test."""
-    counts = {int(r[0]): int(r[1]) for r in rows.groupBy(label).count().collect()}
-    if len(counts) > 10_000:
+    got = rows.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    counts = {int(r[0]): int(r[1]) for r in got}
+    if len(got) > MAX_CLASSES:
         raise ValueError("too many classes for a stratified split")
     quota = stratified_quotas(counts, test_size)
     start, acc = {}, 0

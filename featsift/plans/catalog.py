@@ -782,8 +782,8 @@ def _scored_out(df: DataFrame) -> DataFrame:
 
 @query("logreg_score")
 def q_logreg_score(spark, sf):
-    """chi2 top-500 -> scale -> logistic regression (C=1, 1000 iterations) -> test scores."""
-    fitted, test = _screen(spark, sf, PL.ScreeningConfig("chi2", 500, model="logreg", model_params={"max_iter": 1000}))
+    """chi2 top-10,000 -> scale -> logistic regression (C=1, 1000 iterations) -> test scores."""
+    fitted, test = _screen(spark, sf, PL.ScreeningConfig("chi2", 10_000, model="logreg", model_params={"max_iter": 1000}))
     return _scored_out(PL.transform_screening(fitted, test))
 
 
@@ -798,10 +798,10 @@ def q_forest_score(spark, sf):
 
 @query("gbt_score")
 def q_gbt_score(spark, sf):
-    """L3/L4: prefix 100,000 columns -> std > 1e-12 -> variance top-20,000 (ascending layout) -> scale ->
-    boosted trees (the reference chain's widths; 20 rounds)."""
+    """L3/L4: every column with std > 1e-12 -> variance top-20,000 (ascending layout) -> scale -> boosted
+    trees.  The number of rounds is ``MD_PRESET_SMALL``'s; ``models.XGB_PRESETS`` has the long runs."""
     params = dict(MD_PRESET_SMALL)
-    cfg = PL.ScreeningConfig("variance", 20_000, layout="ascending", prefix=100_000, drop_constant_eps=1e-12,
+    cfg = PL.ScreeningConfig("variance", 20_000, layout="ascending", drop_constant_eps=1e-12,
                              model="gbt", model_params=params)
     fitted, test = _screen(spark, sf, cfg)
     return _scored_out(PL.transform_screening(fitted, test))
@@ -913,3 +913,83 @@ def q_three_way_report(spark, sf):
     accuracy and log loss on valid and test."""
     out = PL.three_way_report(spark, sf, rounds=20, patience=5)
     return out.select("split", r6("accuracy").alias("accuracy"), r6("log_loss").alias("log_loss"), "n", "best_rounds")
+
+
+# ---------------------------------------------------------------- fitted on the train part
+
+
+def _train_part(spark, sf, stratified: bool):
+    m = T.token_matrix(spark, sf)
+    s = SP.split_stratified(m.rows, "label", 0.2, 42) if stratified else SP.split_random(m.rows.select("row_id"), 0.15, 42)
+    return PL.rows_of(m, s.where(F.col("split") == "train"))
+
+
+_TRAIN_ONLY = """
+, tr AS (SELECT row_id FROM ({split}) WHERE split = 'train'),
+rws AS (SELECT r.* FROM rws_all r SEMI JOIN tr USING (row_id)),
+entries AS (SELECT e.* FROM entries_all e SEMI JOIN tr USING (row_id))"""
+
+
+def _on_train(split_fragments: list[str], split: str, *then: str) -> str:
+    tokens = O.TOKENS.replace("rws AS", "rws_all AS").replace("entries AS", "entries_all AS")
+    head = O.with_(tokens, *split_fragments).rstrip() + _TRAIN_ONLY.format(split=split)
+    return head + "".join(",\n" + t.strip() for t in then) + "\n"
+
+
+_RANDOM_SPLIT = [_SPLIT_BASE, "rr AS (SELECT row_id, row_number() OVER (ORDER BY h, row_id) AS rn FROM lr)"]
+_RANDOM_PARTS = ("SELECT row_id, CASE WHEN rn <= CAST(ceil(0.15 * (SELECT count(*) FROM lr)) AS BIGINT)"
+                 " THEN 'test' ELSE 'train' END AS split FROM rr")
+
+
+@query(
+    "scaler_fit_train",
+    _on_train(_RANDOM_SPLIT, _RANDOM_PARTS, O.MOMENTS)
+    + "SELECT feature_id, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std FROM mom",
+)
+def q_scaler_fit_train(spark, sf):
+    """A12 after K1: column means and deviations over the train part of the 85/15 hold-out only."""
+    f = ST.scaler_fit(_train_part(spark, sf, False))
+    return f.select("feature_id", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query(
+    "selectkbest_train",
+    _on_train([_SPLIT_BASE, _strat_sql("0.2", "lr", ("train", "test"))], "SELECT row_id, split FROM sp_test", O.CHI2)
+    + """, ranked AS (
+  SELECT feature_id, chi2, row_number() OVER (ORDER BY chi2 DESC NULLS LAST, feature_id ASC) AS rank FROM chi)
+SELECT feature_id, round(chi2, 6) AS chi2, rank FROM ranked WHERE rank <= 5000""",
+)
+def q_selectkbest_train(spark, sf):
+    """T5 after K2: the 5,000 best tokens by chi2 over the train part of the stratified split only."""
+    sel = SE.select_top_k(SC.chi2_score(_train_part(spark, sf, True)), 5000, "chi2", "rank")
+    return sel.select("feature_id", r6("chi2").alias("chi2"), "rank")
+
+
+@query(
+    "chi2_pvalue_three",
+    O.with_(O.TOKENS.replace("CAST(l.toxic AS INTEGER)", "CAST(l.quality + l.toxic AS INTEGER)"))
+    + """, cls AS (SELECT label, count(*) AS n_c FROM rws GROUP BY label),
+tot AS (SELECT CAST(sum(n_c) AS DOUBLE) AS n FROM cls),
+t AS (SELECT feature_id, sum(value) AS t FROM entries GROUP BY feature_id),
+o AS (SELECT t.feature_id, cls.label, t.t, cls.n_c / tot.n * t.t AS e,
+             (SELECT coalesce(sum(x.value), 0.0) FROM entries x WHERE x.feature_id = t.feature_id AND x.label = cls.label) AS o
+      FROM t, cls, tot),
+c AS (SELECT feature_id, sum((o - e) * (o - e) / e) AS chi2 FROM o GROUP BY feature_id)
+SELECT cols.feature_id, round(c.chi2, 6) AS chi2, round(exp(-c.chi2 / 2), 6) AS p_value
+FROM cols LEFT JOIN c ON cols.feature_id = c.feature_id""",
+)
+def q_chi2_pvalue_three(spark, sf):
+    """A10/A11 with three classes (quality + toxic): two degrees of freedom, so p = exp(-x/2)."""
+    m = T.token_matrix(spark, sf, label="quality + toxic")
+    out = SC.chi2_pvalue_table(m)
+    return out.select("feature_id", r6("chi2").alias("chi2"), r6("p_value").alias("p_value"))
+
+
+@query(
+    "metadata_subset",
+    "SELECT doc_id AS ID, lang FROM documents",
+)
+def q_metadata_subset(spark, sf):
+    """A chosen subset of the metadata columns, beside the key."""
+    docs = T.document_metadata(spark, sf, "all")
+    return EN.clean_metadata(docs, key="ID", subset=["lang"])

@@ -36,6 +36,8 @@ class ScreeningConfig:
     drop_constant_eps: float | None = None  # A3 before scoring (std > eps)
     drop_constant_by_value: bool = False  # A4 before scoring (exact, zero-aware)
     scale: bool = True
+    center: bool = False  # also subtract the mean (makes sparse vectors dense)
+    fit_on: str = "train"  # with a hold-out: fit selection and scaler on its train part, or on "all" labelled rows
     model: str = "logreg"  # logreg | forest | gbt
     model_params: dict = field(default_factory=dict)
     holdout: float | None = None  # K1 split of train, used for early stopping / eval log
@@ -59,8 +61,22 @@ def _vectors(m: MX.WideMatrix, fitted_sel: DataFrame, width: int, scaler=None) -
     return scaler.transform(v) if scaler is not None else v
 
 
+def rows_of(m: MX.WideMatrix, rows: DataFrame) -> MX.WideMatrix:
+    """The matrix restricted to ``rows(row_id)``: same columns, fewer rows.  Cells of
+    the other rows leave; the single-scan source is given up for the entries."""
+    keep = rows.select("row_id")
+    return MX.WideMatrix(
+        entries=m.entries.join(keep, "row_id", "left_semi"), rows=m.rows.join(keep, "row_id", "left_semi"),
+        columns=m.columns, label_col=m.label_col,
+    )
+
+
 def fit_screening(train: MX.WideMatrix, cfg: ScreeningConfig) -> FittedScreening:
-    m = train
+    m, parts = train, None
+    if cfg.holdout:
+        parts = pin(SP.split_random(train.rows.select("row_id"), cfg.holdout, cfg.seed))
+        if cfg.fit_on == "train":
+            m = rows_of(train, parts.where(F.col("split") == "train"))
     if cfg.prefix:
         m = MX.prefix_features(m, cfg.prefix)
     if cfg.drop_constant_eps is not None or cfg.drop_constant_by_value:
@@ -79,16 +95,19 @@ def fit_screening(train: MX.WideMatrix, cfg: ScreeningConfig) -> FittedScreening
     width = selected.count()
     if width == 0:
         raise ValueError("no column selected")
-    raw = _vectors(m, selected, width, None)
-    # Centring densifies: only for widths that are built dense anyway.
-    scaler = SCL.PopulationScaler(center=width <= MX.DENSE_MAX_WIDTH).fit(raw) if cfg.scale else None
+    # Vectors of all labelled rows, built once: the scaler reads the fitted part of them.
+    raw = _vectors(train, selected, width, None).persist(StorageLevel.MEMORY_AND_DISK)
+    base = raw
+    if parts is not None and cfg.fit_on == "train":
+        base = raw.join(parts.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi")
+    scaler = SCL.PopulationScaler(center=cfg.center).fit(base) if cfg.scale else None
     vec = (scaler.transform(raw) if scaler is not None else raw).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = FittedScreening(selected=selected, width=width, scaler=scaler, model=None)
     train_part, valid_part = vec, None
-    if cfg.holdout:
-        s = SP.split_random(vec.select("row_id"), cfg.holdout, cfg.seed)
-        train_part = vec.join(s.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi")
-        valid_part = vec.join(s.where(F.col("split") == "test").select("row_id"), "row_id", "left_semi")
+    if parts is not None:
+        part_of = lambda name: parts.where(F.col("split") == name).select("row_id")
+        train_part = vec.join(part_of("train"), "row_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        valid_part = vec.join(part_of("test"), "row_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     if cfg.model == "logreg":
         n_train = train_part.count()
         part = train_part
@@ -139,16 +158,22 @@ def screening_submission(spark: SparkSession, sf_dir: str, cfg: ScreeningConfig
 # ---------------------------------------------------------------- reduced matrix + metadata
 
 
-def reduced_tokens(spark: SparkSession, sf_dir: str, k_tokens: int = 200, k_pca: int = 16, seed: int = 42):
-    """The reduced matrix: PCA of the chi2-selected token vectors, fitted on the
-    labelled rows, projected for labelled and unlabelled rows (D1 + D2)."""
+def reduced_tokens(spark: SparkSession, sf_dir: str, k_tokens: int = 200, k_pca: int = 16, seed: int = 42,
+                   fit_rows: DataFrame | None = None):
+    """The reduced matrix: PCA of the chi2-selected token vectors, projected for
+    labelled and unlabelled rows (D1 + D2).  Selection and axes are fitted on
+    ``fit_rows(row_id)`` (default: all labelled rows); give the train part of a
+    split so that the labels of held-out rows are never read.  ``k_tokens`` and
+    ``k_pca`` are arguments of the chain (the reference reduces to 250)."""
     train = T.token_matrix(spark, sf_dir, "labelled")
+    seen = train if fit_rows is None else rows_of(train, fit_rows)
     test = T.token_matrix(spark, sf_dir, "unlabelled", with_columns=False)
-    sel = pin(SE.select_top_k(SCORERS["chi2"](train), k_tokens, "score", "rank").select("feature_id", "new_index"))
+    sel = pin(SE.select_top_k(SCORERS["chi2"](seen), k_tokens, "score", "rank").select("feature_id", "new_index"))
     width = sel.count()
     tr_v = _vectors(train, sel, width, None)
     te_v = _vectors(test, sel, width, None)
-    fit = RD.pca_fit(tr_v, k_pca)
+    fit_v = tr_v if fit_rows is None else tr_v.join(fit_rows.select("row_id"), "row_id", "left_semi")
+    fit = RD.pca_fit(fit_v, k_pca)
     return RD.pca_project(tr_v, fit), RD.pca_project(te_v, fit), fit
 
 
@@ -165,10 +190,11 @@ def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "tar
     from pyspark.ml.feature import VectorAssembler
 
     cols = ["lang", "source"]
-    tr_red, te_red, _ = reduced_tokens(spark, sf_dir, k_pca=k_pca, seed=seed)
     meta_tr = EN.fill_missing(T.document_metadata(spark, sf_dir, "labelled"), cols)
     meta_te = EN.fill_missing(T.document_metadata(spark, sf_dir, "unlabelled"), cols)
-    split = SP.split_stratified(meta_tr.select(F.col("ID").alias("row_id"), "label"), "label", 0.2, seed)
+    split = pin(SP.split_stratified(meta_tr.select(F.col("ID").alias("row_id"), "label"), "label", 0.2, seed))
+    in_train = split.where(F.col("split") == "train").select("row_id")
+    tr_red, te_red, _ = reduced_tokens(spark, sf_dir, k_pca=k_pca, seed=seed, fit_rows=in_train)
     fit_part = meta_tr.join(split.where(F.col("split") == "train").select(F.col("row_id").alias("ID")), "ID", "left_semi")
     if encoding == "target":
         enc = EN.fit_target_encoder(fit_part, cols, weighting="sigmoid", smoothing=10.0)
@@ -177,9 +203,9 @@ def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "tar
         asm = VectorAssembler(inputCols=cols, outputCol="__meta")
         mtr = asm.transform(enc_tr).select(F.col("ID").alias("row_id"), "label", F.col("__meta").alias("features"))
         mte = asm.transform(enc_te).select(F.col("ID").alias("row_id"), F.col("__meta").alias("features"))
-        # Scaler fitted on the train split only (no leakage into the validation rows).
-        sc = SCL.vector_fit(mtr.join(split.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi"))
-        mtr, mte = SCL.standardize_vectors(mtr, sc), SCL.standardize_vectors(mte, sc)
+        # The reduced matrix is scaled (fitted on the train split only), the encodings are not.
+        sc = SCL.PopulationScaler(center=True).fit(tr_red.join(in_train, "row_id", "left_semi"))
+        tr_red, te_red = sc.transform(tr_red), sc.transform(te_red)
         red_w, meta_w = 1.0, 1.0
     elif encoding == "onehot":
         top = EN.fit_top_categories(fit_part, cols, 2)
@@ -219,8 +245,6 @@ def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "tar
     va_part = tr.join(split.where(F.col("split") == "test").select("row_id"), "row_id", "left_semi")
     params = dict(MD.XGB_PRESETS["fused_2000"] if encoding == "target" else MD.XGB_PRESETS["meta_100"])
     params["n_estimators"] = rounds
-    params.pop("reg_lambda", None)
-    params.pop("reg_alpha", None)
     est = MD.gbt_from_xgb(params, seed=seed)
     res = MD.fit_early_stopping(est, tr_part, va_part, patience)
     return MD.score(res.model, te, ["row_id"]), res.curve, res.best_rounds
@@ -267,7 +291,6 @@ def metadata_model_accuracy(spark: SparkSession, sf_dir: str, rounds: int = 30,
     vec = _metadata_vectors(meta, {}, cols, "onehot", fit_part)["train"].join(split.select("row_id", "split"), "row_id")
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     params = dict(MD.XGB_PRESETS["meta_300"], n_estimators=rounds)
-    params.pop("reg_lambda", None)
     model = MD.gbt_from_xgb(params, seed=seed).fit(vec.where(F.col("split") == "train"))
     scored = model.transform(vec).select("split", "label", "prediction")
     return scored.groupBy("split").agg(
@@ -285,18 +308,17 @@ def three_way_report(spark: SparkSession, sf_dir: str, rounds: int = 30, patienc
 
     cols = ["lang", "source"]
     meta = EN.fill_missing(T.document_metadata(spark, sf_dir, "labelled"), cols)
-    parts = SP.split_three_way(meta.select(F.col("ID").alias("row_id"), "label"), "label", seed)
+    parts = pin(SP.split_three_way(meta.select(F.col("ID").alias("row_id"), "label"), "label", seed))
+    in_train = parts.where(F.col("split") == "train").select("row_id")
     fit_part = meta.join(parts.where(F.col("split") == "train").select(F.col("row_id").alias("ID")), "ID", "left_semi")
     enc = _metadata_vectors(meta, {}, cols, "target", fit_part)["train"]
-    sc = SCL.PopulationScaler(center=True).fit(enc.join(parts.where(F.col("split") == "train").select("row_id"), "row_id", "left_semi"))
-    enc = sc.transform(enc)
-    red_tr, _, _ = reduced_tokens(spark, sf_dir)
+    # The reduced matrix is fitted and scaled on the train part; the encodings are left as they are.
+    red_tr, _, _ = reduced_tokens(spark, sf_dir, fit_rows=in_train)
+    red_tr = SCL.PopulationScaler(center=True).fit(red_tr.join(in_train, "row_id", "left_semi")).transform(red_tr)
     joined = enc.withColumnRenamed("features", "__m").join(red_tr.select("row_id", F.col("features").alias("__r")), "row_id")
     vec = VectorAssembler(inputCols=["__m", "__r"], outputCol="features").transform(joined).select("row_id", "label", "features")
     vec = vec.join(parts.select("row_id", "split"), "row_id").persist(StorageLevel.MEMORY_AND_DISK)
     params = dict(MD.XGB_PRESETS["fused_2000"], n_estimators=rounds)
-    params.pop("reg_lambda", None)
-    params.pop("reg_alpha", None)
     res = MD.fit_early_stopping(MD.gbt_from_xgb(params, seed=seed), vec.where(F.col("split") == "train"),
                                 vec.where(F.col("split") == "valid"), patience)
     scored = MD.score(res.model, vec.where(F.col("split") != "train"), ["split", "label"])

@@ -134,8 +134,8 @@ class _VectorReader(_MatrixReader):
             pos = np.arange(partition.start, partition.end, dtype=np.int64)
             if arr.dtype.kind in "US":
                 vals = pa.array([str(x) if arr.dtype.kind == "U" else x.decode() for x in arr], pa.string())
-            else:
-                vals = pa.array(arr.astype(np.float64).astype(str).tolist(), pa.string())
+            else:  # integers stay whole numbers
+                vals = pa.array([str(x) for x in arr.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), vals], names=["position", "value"])
         finally:
             fh.close()

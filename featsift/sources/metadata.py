@@ -14,7 +14,9 @@ def read_metadata_csv(spark: SparkSession, path: str, key: str | None = "ID", ke
     No schema inference pass over the data (a second full scan at scale): every
     column is a string, the 19 NA tokens become null, the key is cast.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST").csv(path)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
+    # Doubled quotes and line breaks inside quotes, as pandas reads them.
+    df = reader.option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     cols = [c for c in df.columns if c != key]
     df = normalize_na(df, cols)
     if key and key in df.columns:

@@ -65,7 +65,7 @@ def token_matrix(
 ) -> WideMatrix:
     """Token-presence matrix of the labelled (train), unlabelled (test) or all documents."""
     docs = documents_text(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.expr(label).cast("int").alias("label"))
     if part == "labelled":
         docs = docs.join(labels, "doc_id")
     elif part == "unlabelled":

@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from featsift.operators.matrix import WideMatrix
 from featsift.plans.pipelines import FittedScreening, submission_frame, transform_screening
-from featsift.session import checkpoint_dir
 from featsift.sources.tables import doc_tokens
 
 DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -42,7 +41,8 @@ def score_documents_stream(spark: SparkSession, fitted: FittedScreening, source_
         scored = submission_frame(transform_screening(fitted, _batch_matrix(batch)))
         scored.write.mode("overwrite").option("header", True).csv(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/featsift-stream-{abs(hash(out_dir))}"
+    # The offsets lie beside the output unless told otherwise: the same path in every run.
+    ckpt = checkpoint or f"{out_dir.rstrip('/')}-offsets"
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
