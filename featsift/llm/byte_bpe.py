@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 LONG_WORD = 64
 WORDS_AT_ONCE = 40_000
-CACHED = 400_000  # pieces of text, and as many words, remembered by a worker
+CACHED = 400_000  # pieces of text, and as many words, remembered by a task
 BATCH_CHARS = 6_000_000
 
 # One contraction: position rows of each word, their pairs' ranks, the leftmost least.
@@ -62,7 +62,7 @@ def _column(db: duckdb.DuckDBPyConnection, query: str) -> pa.ListArray:
 
 
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.words_of = ranks, regex.compile(pattern).findall
@@ -110,12 +110,19 @@ class Codec:
         return ([first] if first else []) + [" " + x for x in rest]
 
     def forget(self, most: int = 0) -> None:
-        """Drop what is remembered beyond ``most`` entries; a task ends with nothing held."""
+        """Drop what is remembered beyond ``most`` entries."""
         for memories in ((self.ids, self.plain), (self.piece_ids, self.piece_plain)):
             if len(memories[0]) > most:
                 for memory in memories:
                     memory.clear()
 
+    def close(self) -> None:
+        """Give the memory back: a worker process outlives its task and shares the
+        executor with the tasks of later stages."""
+        self.forget()
+        self.db.close()
+        pa.default_memory_pool().release_unused()
+
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """The ids and the decoded bytes of each text."""
         self.forget(CACHED)
@@ -131,16 +138,6 @@ class Codec:
             yield b"".join(map(ids, pieces)), b"".join(map(plain, pieces))
 
 
-_WORKER: dict[str, Codec] = {}
-
-
-def _codec(tag: str, vocabulary, pattern: str) -> Codec:
-    if tag not in _WORKER:
-        _WORKER.clear()  # one codec a worker
-        _WORKER[tag] = Codec(vocabulary.value, pattern)
-    return _WORKER[tag]
-
-
 _OUT = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
@@ -148,13 +145,11 @@ def encode(docs: DataFrame, path: str, pattern: str, full: bool = True) -> DataF
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and (``full``) ids and decoded, for
     each row.  ``path``: a rank file of fixed size; its ranks are broadcast."""
     spark = docs.sparkSession
-    ranks = read_ranks(path)
-    tag = hashlib.sha256(repr((pattern, ranks)).encode()).hexdigest()
-    vocabulary = spark.sparkContext.broadcast(ranks)
+    vocabulary = spark.sparkContext.broadcast(read_ranks(path))
     fields = [f for f in T.StructType.fromDDL(_OUT) if full or f.name not in ("ids", "decoded")]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(tag, vocabulary, pattern)
+        codec = Codec(vocabulary.value, pattern)
 
         def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
             columns: dict[str, list] = {f.name: [] for f in fields}
@@ -169,16 +164,18 @@ def encode(docs: DataFrame, path: str, pattern: str, full: bool = True) -> DataF
             types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], types.get(f.name, pa.string())) for f in fields], names=[f.name for f in fields])
 
-        for batch in batches:
-            ids, texts, chars = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(doc)
-                texts.append(text.as_py() or "")
-                chars += len(texts[-1])
-                if chars > BATCH_CHARS:
-                    yield rows(ids, texts)
-                    ids, texts, chars = [], [], 0
-            yield rows(ids, texts)
-        codec.forget()
+        try:
+            for batch in batches:
+                ids, texts, chars = [], [], 0
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids.append(doc)
+                    texts.append(text.as_py() or "")
+                    chars += len(texts[-1])
+                    if chars > BATCH_CHARS:
+                        yield rows(ids, texts)
+                        ids, texts, chars = [], [], 0
+                yield rows(ids, texts)
+        finally:
+            codec.close()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(coded, T.StructType(fields))
