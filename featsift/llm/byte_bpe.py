@@ -67,7 +67,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.words_of = ranks, regex.compile(pattern).findall
         self.after_space, self.pieces_of = regex.compile(r"\s ").search, regex.compile(r"\s*\S+|\s+").findall
-        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(ranks[t[:i]] << 24 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         self._table("merges", {"ab": pa.array([p[0] for p in pairs], pa.int64()), "id": pa.array([p[1] for p in pairs], pa.int32())})
@@ -88,9 +88,13 @@ class Codec:
         for query, some in ((_ENCODE, [i for i, b in enumerate(raw) if len(b) <= LONG_WORD]), (_ENCODE_LONG, [i for i, b in enumerate(raw) if len(b) > LONG_WORD])):
             for lo in range(0, len(some), WORDS_AT_ONCE):
                 part = some[lo:lo + WORDS_AT_ONCE]
-                # A word that is a token as a whole is that token.
-                lists = [[self.ranks[raw[i]]] if raw[i] in self.ranks else [self.byte[c] for c in raw[i]] for i in part]
-                self._table("words", {"w": pa.array(part, pa.int32()), "l": pa.array(lists, pa.list_(pa.int32()))})
+                # A word that is a token as a whole is that token; the others start as bytes.
+                whole = np.array([self.ranks.get(raw[i], -1) for i in part])
+                start = [raw[i] if r < 0 else b"\0" for i, r in zip(part, whole.tolist())]
+                offsets = np.r_[0, np.cumsum([len(x) for x in start])].astype(np.int32)
+                ids = self.byte[np.frombuffer(b"".join(start), dtype=np.uint8)]
+                ids[offsets[:-1][whole >= 0]] = whole[whole >= 0]
+                self._table("words", {"w": pa.array(part, pa.int32()), "l": pa.ListArray.from_arrays(offsets, ids)})
                 self.db.execute(f"CREATE OR REPLACE TABLE encoded AS {query}")
                 # Both results come in order of w, so their rows belong together.
                 ids = _column(self.db, "SELECT l FROM encoded ORDER BY w")
