@@ -7,8 +7,7 @@
   Spark has an equivalent; leaf L1/L2 penalties have none and are reported.
 * Early stopping: fit ``n`` rounds once, evaluate every prefix on the
   validation rows (``evaluateEachIteration``), pick the best round under the
-  patience rule, refit with that many rounds (same seed, so the first trees
-  are the same trees).
+  patience rule and keep the first trees of the ensemble up to it.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -73,10 +73,11 @@ def right_size(vectors: DataFrame, n_rows: int, width: int) -> DataFrame:
 
 
 def random_forest(num_trees: int = 200, max_depth: int = 20, min_leaf: int = 2, seed: int = 42,
-                  features: str = "features", label: str = "label", max_bins: int = 32) -> RandomForestClassifier:
+                  features: str = "features", label: str = "label", max_bins: int = 32,
+                  bootstrap: bool = True, subset: str = "sqrt") -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol=features, labelCol=label, numTrees=num_trees, maxDepth=max_depth,
-        featureSubsetStrategy="sqrt", minInstancesPerNode=min_leaf, bootstrap=True, seed=seed, maxBins=max_bins,
+        featureSubsetStrategy=subset, minInstancesPerNode=min_leaf, bootstrap=bootstrap, seed=seed, maxBins=max_bins,
     )
 
 
@@ -141,13 +142,25 @@ def best_round(losses: list[float], patience: int) -> int:
     return best_i + 1
 
 
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The boosted model after its first ``rounds`` trees; nothing is trained again."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    regressor = gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = gateway.new_array(regressor, rounds), gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    boosted = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = GBTClassificationModel(boosted(java.uid(), trees, weights, java.numFeatures(), 2))
+    return model._copyValues(cut)
+
+
 def fit_early_stopping(est: GBTClassifier, train: DataFrame, valid: DataFrame, patience: int) -> EarlyStopResult:
-    """One fit, per-round validation loss, patience, refit at the best round."""
+    """One fit, per-round validation loss, patience, the trees up to the best round."""
     full = est.fit(train)
     curve = eval_curve(full, {"train": train, "valid": valid})
     valid_losses = [loss for _, name, loss in curve if name == "valid"]
     best = best_round(valid_losses, patience)
-    model = full if best == est.getMaxIter() else est.copy({est.maxIter: best}).fit(train)
+    model = full if best == full.getNumTrees else first_rounds(full, best)
     return EarlyStopResult(model=model, best_rounds=best, curve=curve)
 
 

@@ -19,6 +19,7 @@ from featsift.operators import matrix as MX
 from featsift.operators import scores as SC
 from featsift.operators import select as SE
 from featsift.operators import stats as ST
+from featsift.session import pin, scratch_path
 from featsift.sources import tables as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -573,7 +574,7 @@ nmeta AS (SELECT CAST(count(DISTINCT feature_id) AS DOUBLE) AS k FROM metab)
 
 def _fused(spark, sf, weights: bool):
     train = T.token_matrix(spark, sf)
-    sel = SE.select_top_k(SC.chi2_score(train), 100, "chi2", "rank")
+    sel = pin(SE.select_top_k(SC.chi2_score(train), 100, "chi2", "rank").select("feature_id", "new_index"))
     tok = MX.gather(train, sel, bound_rows=100)
     meta_df = T.document_metadata(spark, sf, "labelled")
     meta = MX.WideMatrix(
@@ -843,11 +844,9 @@ def q_score_pipeline(spark, sf):
 @query("submission")
 def q_submission(spark, sf):
     """The flagship's ``(id, label)`` table, also written as CSV to the shared scratch folder."""
-    from featsift.session import scratch_path
-
-    sub = PL.screening_submission(spark, sf)
-    PL.write_submission(sub, scratch_path(spark, "submission"))
-    return sub
+    path = scratch_path(spark, "submission")
+    PL.write_submission(PL.screening_submission(spark, sf), path)
+    return spark.read.option("header", True).schema("id long, label int").csv(path)
 
 
 @query("pca_embeddings")
@@ -993,3 +992,6 @@ def q_metadata_subset(spark, sf):
     """A chosen subset of the metadata columns, beside the key."""
     docs = T.document_metadata(spark, sf, "all")
     return EN.clean_metadata(docs, key="ID", subset=["lang"])
+
+
+from featsift.plans import chains, closed_forms  # noqa: E402,F401  (they register their queries)
