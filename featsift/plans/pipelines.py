@@ -291,7 +291,9 @@ def metadata_model_accuracy(spark: SparkSession, sf_dir: str, rounds: int = 30,
     vec = _metadata_vectors(meta, {}, cols, "onehot", fit_part)["train"].join(split.select("row_id", "split"), "row_id")
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     params = dict(MD.XGB_PRESETS["meta_300"], n_estimators=rounds)
-    model = MD.gbt_from_xgb(params, seed=seed).fit(vec.where(F.col("split") == "train"))
+    few = MD.right_size(vec.where(F.col("split") == "train"), vec.count(), vec.first()["features"].size)
+    model = MD.gbt_from_xgb(params, seed=seed).fit(few.persist(StorageLevel.MEMORY_AND_DISK))
+    few.unpersist()
     scored = model.transform(vec).select("split", "label", "prediction")
     return scored.groupBy("split").agg(
         F.avg((F.col("label").cast("double") == F.col("prediction")).cast("double")).alias("accuracy"),
