@@ -15,9 +15,10 @@ follows.  Scatter gets a fixed tolerance on its diagonal (the regularised form o
 the estimate), as most rows have no symbols or repeats at all.
 
 Defined cases: null text counts as empty (fails the base rule); null lang or source
-is a value of its own; groups under ``MIN_GROUP`` rows are pooled by language, then
-overall; a pool still smaller rejects nothing; repeated rows are judged alike;
-empty input gives an empty result; other columns are never read.
+is a value of its own; a group under ``MIN_GROUP`` ordinary rows (that pass the base
+rules) is judged by the estimate of its whole language, where that has fewer too by
+that of all rows, however few; repeated rows are judged alike; empty input gives an
+empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -212,29 +213,36 @@ def _starts(rows: DataFrame) -> DataFrame:
     return median.unionByName(moments)
 
 
+def _part(c: str) -> Column:
+    """A string for a value of column ``c``, null-safe and without clashes."""
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+
+
 def group_key(lang: str, source: str) -> Column:
     """One string per (lang, source), null-safe and without clashes."""
-    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    return F.concat(part(lang), F.lit("/"), part(source))
+    return F.concat(_part(lang), F.lit("/"), _part(source))
+
+
+def _levels() -> list[Column]:
+    """The pools that rows of a (lang, source) can feed: its own, its language's, that of all rows."""
+    return [group_key("lang", "source"), F.concat(F.lit("lang "), _part("lang")), F.lit("all")]
 
 
 def pools(rows: DataFrame) -> DataFrame:
-    """``(lang, source, g)``: the pool whose estimate each (lang, source) uses;
-    g is null where even the last pool has under ``MIN_GROUP`` rows."""
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.withColumn("own", F.col("n") >= MIN_GROUP)
-    by_lang = small.where(~F.col("own")).groupBy("lang").agg(F.sum("n").alias("ln"))
-    named = small.join(by_lang.withColumnRenamed("lang", "l2"), F.col("lang").eqNullSafe(F.col("l2")), "left")
-    g = (
-        F.when(F.col("own"), group_key("lang", "source"))
-        .when(F.col("ln") >= MIN_GROUP, F.concat(F.lit("lang "), F.coalesce("lang", F.lit("-"))))
-        .otherwise(F.lit("rest"))
-    )
-    named = named.withColumn("g", g)
-    total = named.groupBy("g").agg(F.sum("n").alias("gn"))
-    return named.join(total, "g").select(
-        "lang", "source", F.when(F.col("gn") >= MIN_GROUP, F.col("g")).alias("g")
-    )
+    """``(lang, source, g)``: the pool whose estimate each (lang, source) of
+    ``rows(lang, source, bad)`` uses, the narrowest with ``MIN_GROUP`` ordinary rows."""
+    sizes = rows.groupBy("lang", "source").agg(F.count_if(~F.col("bad")).alias("n"))
+    by_lang = sizes.groupBy(F.col("lang").alias("l2")).agg(F.sum("n").alias("ln"))
+    named = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l2")))
+    own, lang, everything = _levels()
+    g = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("ln") >= MIN_GROUP, lang).otherwise(everything)
+    return named.select("lang", "source", g.alias("g"))
+
+
+def feeds(pool: DataFrame) -> DataFrame:
+    """``(lang, source, g)``: every used pool that the rows of a (lang, source) belong to."""
+    every = pool.select("lang", "source", F.explode(F.array(*_levels())).alias("g"))
+    return every.join(pool.select("g").distinct(), "g", "left_semi").select("lang", "source", "g")
 
 
 def robust_estimates(rows: DataFrame, share: float = SUBSET, steps: int = STEPS) -> DataFrame:
@@ -250,16 +258,16 @@ def robust_estimates(rows: DataFrame, share: float = SUBSET, steps: int = STEPS)
 
 
 def rejecting(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Adds distance2 (null: no estimate) and kept to rows that carry lang, source
+    """Adds distance2 (null: no ordinary row at all) and kept to rows that carry lang, source
     and the struct column ``stats``."""
     docs = stats.select("lang", "source", *[x.alias(n) for x, n in zip(vector("stats"), _X)], base_failed("stats").alias("bad"))
     pool = stored(pools(docs), "pools")
     same = F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))
-    named = pool.select(F.col("lang").alias("l2"), F.col("source").alias("s2"), "g")
+    renamed = [F.col("lang").alias("l2"), F.col("source").alias("s2"), "g"]
     # Rows that fail the base rules do not shape the estimate of ordinary text.
-    rows = docs.where(~F.col("bad")).join(named.where("g IS NOT NULL"), same).select("g", *_X)
+    rows = docs.where(~F.col("bad")).join(feeds(pool).select(*renamed), same).select("g", *_X)
     best = robust_estimates(rows)
-    judge = named.join(best, "g", "left").drop("g", "logdet")
+    judge = pool.select(*renamed).join(best, "g", "left").drop("g", "logdet")
     out = stats.join(judge, same, "left").withColumns({n: x for x, n in zip(vector("stats"), _X)})
     far = F.when(F.col(_Q[0]).isNotNull(), distance())
     out = out.withColumn("distance2", far).drop("l2", "s2", *_X, *_M, *_Q)
