@@ -187,19 +187,26 @@ def print_links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = CELL_R
     return links
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint, component_id for each row of ``docs``."""
-    if shingle != SHINGLE:
-        prints = F.arrow_udf(lambda t: pa.array([_signed(fingerprint(x.as_py() or b"", shingle)) for x in t], pa.int64()), T.LongType())
-    else:
-        prints = fingerprints
-    rows = stored(docs.select(real_id().alias("d"), prints(body()).alias("fp")), "prints")
+def _prints(shingle: int):
+    if shingle == SHINGLE:
+        return fingerprints
+    return F.arrow_udf(lambda t: pa.array([_signed(fingerprint(x.as_py() or b"", shingle)) for x in t], pa.int64()), T.LongType())
+
+
+def _rooted(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, root, component)`` of each distinct print of ``rows(d, fp)``: a print that
+    names the component, and the component's smallest d."""
     points = stored(rows.groupBy("fp").agg(F.min("d").alias("first")), "points")
     root = components(print_links(points, max_bits)).withColumnRenamed("node", "fp")
     rooted = points.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    of_print = rooted.join(ids, "root").select("fp", "component")
-    out = rows.join(of_print, "fp")
+    return rooted.join(ids, "root").select("fp", "root", "component")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint, component_id for each row of ``docs``."""
+    rows = stored(docs.select(real_id().alias("d"), _prints(shingle)(body()).alias("fp")), "prints")
+    out = rows.join(_rooted(rows, max_bits).drop("root"), "fp")
     return out.select(
         given_id("d").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         given_id("component").alias("component_id"),
@@ -208,18 +215,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row for each component: that of the smallest doc_id (of rows
-    with this same id, the one whose text hashes lowest)."""
-    groups = near_groups(docs, shingle, max_bits)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    with this same id, the one that hashes lowest)."""
     name = fresh(docs, "row")
-    rows = docs.select(F.struct(*docs.columns).alias(name))
-    mine = rows.join(first, F.col(f"{name}.doc_id").eqNullSafe(F.col("first")), "left_semi")
-    # Copies of one doc_id are narrowed to the row with the smallest hash.
-    tag = F.xxhash64(name)
-    tagged = mine.withColumn("tag", tag)
-    least = tagged.groupBy(F.col(f"{name}.doc_id").alias("id")).agg(F.min("tag").alias("low"), F.count(F.lit(1)).alias("n"))
-    twice = least.where("n > 1")
-    lone = tagged.join(twice, F.col(f"{name}.doc_id").eqNullSafe(F.col("id")), "left_anti").select(name)
-    one = tagged.join(twice, F.col(f"{name}.doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("low")))
-    one = one.groupBy("id").agg(F.min_by(name, "tag").alias(name)).select(name)
+    key = ["d", "tag", "tag2"]  # equal rows share it; two hashes, as null ids may be many
+    tags = F.xxhash64(name).alias("tag"), F.xxhash64(F.lit(1), name).alias("tag2")
+    keyed = docs.select(F.struct(*docs.columns).alias(name)).select(name, real_id(f"{name}.doc_id").alias("d"), *tags)
+    rows = stored(keyed.select(*key, _prints(shingle)(body(f"{name}.text")).alias("fp")), "prints")
+    kinds = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"))
+    least = kinds.join(_rooted(rows, max_bits), "fp").groupBy("root").agg(F.min(F.struct(*key, "n")).alias("k"))
+    least = stored(least.select("k.*"), "kept")
+    lone = keyed.join(least.where("n = 1"), key).select(name)
+    # Of a row that is there several times one copy stays.
+    one = keyed.join(least.where("n > 1"), key).groupBy(*key).agg(F.first(name).alias(name)).select(name)
     return lone.unionByName(one).select(f"{name}.*")
