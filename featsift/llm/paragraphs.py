@@ -1,8 +1,9 @@
 """Paragraph near-dedup by MinHash banding with exact verification.
 
 A paragraph is a line of a text (split at line feeds).  It is compared by the set of
-its five-word shingles (A-Z lower-cased); paragraphs under five words have none and
-are never linked.  Two link at a Jaccard similarity of ``THRESHOLD`` or more.
+its five-word shingles (A-Z lower-cased); one of one to four words has its whole word
+sequence as its only shingle, so its copies link.  Two link at a Jaccard similarity
+of ``THRESHOLD`` or more.
 
 1. Equal word sequences collapse into one distinct paragraph by a 128-bit hash, so
    copies, however many, are one row from here on.
@@ -16,7 +17,7 @@ are never linked.  Two link at a Jaccard similarity of ``THRESHOLD`` or more.
 5. Links form components; in each the first paragraph (smallest document, then
    place) stays and the others are removals.
 
-Defined cases: null text has no paragraphs; a null doc_id sorts last; rows with the
+Defined cases: null text has no paragraphs, nor are wordless lines any; a null doc_id sorts last; rows with the
 same doc_id are told apart by nothing but their text; repeated rows are copies; empty
 input gives an empty result; extra columns are never read.
 """
@@ -55,8 +56,9 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 def shingles(line: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the line's shingles."""
     words = line.lower().split()
-    if len(words) < size:
+    if not words:
         return np.zeros(0, dtype=np.uint64)
+    size = min(size, len(words))  # a short line is one shingle
     digest = xxhash.xxh3_64_intdigest
     return np.unique(np.fromiter(map(digest, map(b" ".join, zip(*(words[k:] for k in range(size))))), dtype=np.uint64))
 
@@ -259,6 +261,6 @@ def near_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
 def paragraph_names(text: pa.Array) -> pa.Array:
-    """The hash of every line, null where it has no shingle."""
-    rows = ([name_of(x) if len(x.split()) >= SHINGLE else None for x in (raw.as_py() or b"").split(b"\n")] for raw in text)
+    """The hash of every line, null where it has no word."""
+    rows = ([name_of(x) if x.split() else None for x in (raw.as_py() or b"").split(b"\n")] for raw in text)
     return pa.array(list(rows), pa.list_(pa.binary()))
