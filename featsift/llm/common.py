@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +120,30 @@ def block_pairs(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
     other = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
     pair = F.xxhash64(F.col(key), F.least("__b", "__o"), F.greatest("__b", "__o"))
     return other.withColumn("pair", pair).drop("__n", "__nb", "__b", "__o")
+
+
+def behind_index(index: DataFrame, probes: DataFrame, salts: int, item: Column) -> DataFrame:
+    """The rows of ``probes(shard, ...)``, sorted behind the row of ``index(shard, ...)``
+    of their shard, for ``probed``.  A shard's probes are dealt to ``salts`` groups by
+    the hash ``item``; its index row goes to each."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    rows = index.select("*", salt.alias("salt"), F.lit(False).alias("probe"))
+    dealt = probes.select("*", F.pmod(item, F.lit(salts)).cast("int").alias("salt"), F.lit(True).alias("probe"))
+    both = rows.unionByName(dealt, allowMissingColumns=True)
+    return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "probe")
+
+
+def probed(batches: Iterator[pa.RecordBatch], ready: Callable[[dict], object]) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """``(ready(index row), probes)`` from a stream made by ``behind_index``: never more
+    than one index row and one batch are held.  Probes of a shard without index are left out."""
+    held, mine = None, None
+    for batch in batches:
+        shard, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "probe"))
+        starts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | ~probe[1:]]) if len(shard) else []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(shard)].astype(int)):
+            if not probe[lo]:
+                if mine != shard[lo]:
+                    held, mine = ready(batch.slice(lo, 1).to_pylist()[0]), shard[lo]
+                lo += 1
+            if lo < hi and mine == shard[lo]:
+                yield held, batch.slice(lo, hi - lo)

@@ -18,6 +18,7 @@ or no members; clashing extra columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featsift.llm.common import body, given_id, real_id, stored
+from featsift.llm.common import behind_index, body, given_id, probed, real_id, stored
 from featsift.llm.peeling import mix, peelable, slots
 
 SHARD_KEYS = 200_000
+PROBE_ROWS = 500_000  # probes that meet one copy of a shard's filter, about
 _FILTER = "shard int, n long, seed int, length int, firsts int, prints binary"
 _FILTER_ARROW = pa.schema(
     [("shard", pa.int32()), ("n", pa.int64()), ("seed", pa.int32()), ("length", pa.int32()), ("firsts", pa.int32()), ("prints", pa.binary())]
 )
-_DIGEST = pa.schema([("digest", pa.binary())])
 
 
 def keys_of(digests: list[bytes]) -> np.ndarray:
@@ -73,11 +74,10 @@ def _build(key, table):
     return pa.Table.from_pylist([{"shard": key[0].as_py(), **row}], schema=_FILTER_ARROW)
 
 
-def _screen(key, filters, digests):
-    if not filters.num_rows or not digests.num_rows:
-        return _DIGEST.empty_table()
-    hit = maybe_member(filters.to_pylist()[0], keys_of(digests.column("digest").to_pylist()))
-    return digests.select(["digest"]).filter(pa.array(hit)).cast(_DIGEST)
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, digests in probed(batches, dict):
+        hit = maybe_member(row, keys_of(digests.column("digest").to_pylist()))
+        yield digests.select(["digest"]).filter(pa.array(hit))
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -115,8 +115,10 @@ def members(batch: DataFrame, texts: DataFrame, snap: Snapshot) -> DataFrame:
     last)`` equal: screened by the filters, then compared byte for byte.
     ``texts(d, raw)`` holds the batch's documents."""
     shard = shard_of(snap.shards).alias("shard")
-    probes = batch.select("digest", shard).groupBy("shard")
-    passed = snap.filters.groupBy("shard").cogroup(probes).applyInArrow(_screen, "digest binary")
+    # The filters follow the snapshot, the probes the batch.
+    salts = max(1, -(-batch.count() // (snap.shards * PROBE_ROWS)))
+    dealt = behind_index(snap.filters, batch.select("digest", shard), salts, F.xxhash64(F.lit(1), "digest"))
+    passed = dealt.mapInArrow(_screen, "digest binary")
     old = snap.buckets.join(passed, "digest")
     pairs = stored(batch.select("digest", F.col("last").alias("new")).join(old, "digest"), "positives")
 

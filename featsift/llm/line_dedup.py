@@ -10,8 +10,9 @@ lines except in the document with the smallest id.
 2. Hashes held by several documents are the index.  Each shard of it is one row: a
    minimal perfect hash (slots of a peeled key graph, ranked) and compact arrays of
    fingerprints, counts and smallest documents in rank order.
-3. Documents probe the arrays with their line hashes, dealt by shard; no line text
-   travels.  Hashes in more than 1 / ``HOT_SHARE`` of all line rows (hence fewer
+3. Documents probe the arrays with their line hashes, dealt by shard; where a shard
+   has over ``PROBE_ROWS`` of them, to several copies of its index row, behind which
+   they stream in batches.  No line text travels.  Hashes in more than 1 / ``HOT_SHARE`` of all line rows (hence fewer
    than ``HOT_SHARE`` of them) are kept out of the probes and given to every task.
 4. Each document gets back the set of hashes it loses and is rebuilt.
 
@@ -23,6 +24,7 @@ result; clashing extra columns are never read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featsift.llm.common import NULL_ID, body, given_id, real_id, stored
+from featsift.llm.common import NULL_ID, behind_index, body, given_id, probed, real_id, stored
 from featsift.llm.peeling import peelable, slots
 
 MIN_POINTS = 10
 HOT_SHARE = 2000
 SHARD_KEYS = 100_000  # keys of the index per shard, about
+PROBE_ROWS = 500_000  # probes that meet one copy of a shard's index, about
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -76,7 +79,6 @@ _INDEX_ARROW = pa.schema(
     [("shard", pa.int32()), ("n", pa.int64()), ("seed", pa.int32()), ("length", pa.int32()), ("firsts", pa.int32())]
     + [(c, pa.binary()) for c in ("used", "fingerprints", "counts", "firsts_doc")]
 )
-_LOST = pa.schema([("d", pa.int64()), ("h", pa.binary())])
 
 
 def build_shard(hashes: list[bytes], counts: np.ndarray, docs: np.ndarray) -> dict:
@@ -154,12 +156,11 @@ def shard_of(shards: int):
     return F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
 
 
-def _probe(key, index, probes):
-    if not index.num_rows or not probes.num_rows:
-        return _LOST.empty_table()
-    count, first = Shard(index.to_pylist()[0]).probe(probes.column("h").to_pylist())
-    lost = (count > 1) & (first < probes.column("d").to_numpy())
-    return probes.select(["d", "h"]).filter(pa.array(lost)).cast(_LOST)
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, probes in probed(batches, Shard):
+        count, first = shard.probe(probes.column("h").to_pylist())
+        lost = (count > 1) & (first < probes.column("d").to_numpy())
+        yield probes.select(["d", "h"]).filter(pa.array(lost))
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
@@ -170,7 +171,10 @@ def lost_lines(docs: DataFrame) -> DataFrame:
     known = lines.join(F.broadcast(hot), "h")
     by_hot = known.where(F.col("first") < F.col("d")).select("d", "h")
     rest = lines.join(F.broadcast(hot), "h", "left_anti").withColumn("shard", shard_of(shards))
-    by_index = index.groupBy("shard").cogroup(rest.groupBy("shard")).applyInArrow(_probe, "d long, h binary")
+    # The index follows the shared lines, the probes all lines.
+    salts = max(1, -(-lines.count() // (shards * PROBE_ROWS)))
+    dealt = behind_index(index, rest, salts, F.xxhash64("d", "h"))
+    by_index = dealt.mapInArrow(_probe, "d long, h binary")
     return by_hot.unionByName(by_index).groupBy("d").agg(F.collect_set("h").alias("lost"))
 
 
