@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsift.llm import (
-    byte_bpe, exact_dedup, kernel_quality, line_dedup, mixing, paragraphs, quality_rules, sharding, simhash, suffix_dedup,
+    byte_bpe, exact_dedup, kernel_quality, line_dedup, mixing, packing, paragraphs, quality_rules, sharding, simhash, suffix_dedup,
 )
 from featsift.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKING_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +69,17 @@ def op10_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(documents(spark, sf_dir), public_tokenizers.path(PACKING_VOCABULARY))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_mcd, op2_paragraph_minhash, op3_line_mph, op4_systematic_mix, op5_simhash_grid,
         op6_exact_fuse, op7_byte_bpe, op8_suffix_repeats, op9_fourier_quality, op10_slot_sharding,
+        op11_cost_packing,
     )
 }
 
