@@ -27,6 +27,8 @@ columns are never read.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,40 +46,56 @@ LINEAR, QUADRATIC = 4096, 1  # cost of a piece: LINEAR * n + QUADRATIC * n * n
 RUN_TOKENS = 1_500_000  # tokens packed together, about
 RUN_BYTES = 4_000_000  # a partition should hold so much text
 REMEMBERED = 400_000  # words remembered by a task
-_AT_ONCE = 10_000  # words encoded in one call
+_AT_ONCE = 10_000  # runs of letters encoded in one call
 _CHARS = 6_000_000  # text tokenized in one go
 
 
 class Words:
-    """Ids of texts under a tokenizer that looks at each white-space word by itself."""
+    """Ids of texts under a tokenizer that looks at each white-space word by itself.
+
+    Its pattern takes a run of letters as one word, to which it adds an end mark, and
+    a run of other signs as another.  A word of letters with ASCII punctuation behind
+    is therefore its letters' ids and its punctuation's; distinct runs of letters are
+    encoded many in one call, and told apart by the end marks.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        special = self.tokenizer.get_added_tokens_decoder()
-        self.between = max(special)
-        self.separator = special[self.between].content
-        self.specials = [token.content for token in special.values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
-        """Encode distinct words.  Those without a special token's string are joined by
-        one: the tokenizer cuts a text there before it looks at anything else."""
-        plain = [w for w in words if not any(s in w for s in self.specials)]
-        encode = self.tokenizer.encode_batch_fast
-        for lo in range(0, len(plain), _AT_ONCE):
-            part = plain[lo:lo + _AT_ONCE]
-            ids = np.array(encode([self.separator.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.between)
-            raw, begin, end = ids.tobytes(), np.r_[0, (cut + 1) * 4].tolist(), np.r_[cut * 4, len(ids) * 4].tolist()
-            self.known.update((w, raw[i:j]) for w, i, j in zip(part, begin, end))
-        rest = [w for w in words if w not in self.known]
-        for w, found in zip(rest, encode(rest, add_special_tokens=False)):
-            self.known[w] = np.array(found.ids, dtype="<u4").tobytes()
+        """Remember the ids of distinct words."""
+        cut = []
+        for word in words:
+            letters = word.rstrip(string.punctuation)
+            if not letters.isalpha():
+                letters = word
+            tail = word[len(letters):]
+            cut.append((letters.lower() if letters.isascii() else letters, tail))
+        new = {x for parts in cut for x in parts if x not in self.parts}
+        runs = [x for x in new if (x if x.isascii() else unicodedata.normalize("NFC", x).lower()).isalpha()]
+        for lo in range(0, len(runs), _AT_ONCE):
+            part = runs[lo:lo + _AT_ONCE]
+            ids = self._ids([" ".join(part)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):  # else a letter that this tokenizer does not know as one
+                raw, stops = ids.tobytes(), (stops * 4).tolist()
+                self.parts.update((x, raw[i:j]) for x, i, j in zip(part, [0, *stops], stops))
+        rest = [x for x in new if x not in self.parts]
+        self.parts.update((x, ids.tobytes()) for x, ids in zip(rest, self._ids(rest)))
+        self.known.update((word, self.parts[a] + self.parts[b]) for word, (a, b) in zip(words, cut))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.known, self.parts = {"": b""}, {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn([w for w in set().union(*split) if w not in self.known])
         for words in split:

@@ -96,6 +96,7 @@ def test_words_are_encoded_as_in_their_text():
     tokenizer, words = Tokenizer.from_file(PATH), packing.Words(PATH)
     texts = [t or "" for _, t, *_ in awkward_rows()] + [
         "a\x1cb \x85 c　d e", "<|endoftext|> x<|startoftext|>y  z", "é ́e Å", "ΣΑΣ Σ", "\r\n\t x\ty ", "don't 's ' s",
+        "İx Kelvin,** x…! rock'n' don't! 'll's q's.", "क़ क़अ, 𞤀𞤢 ªº² aͅb ﬁ. A1. B²!", "ꟑ ꟓa 𐵐x",
     ]
     got = [np.frombuffer(b, dtype="<u4").tolist() for b in words.encode(texts)]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
