@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsift.llm import (
-    byte_bpe, exact_dedup, kernel_quality, line_dedup, mixing, packing, paragraphs, quality_rules, sharding, simhash, suffix_dedup,
+    byte_bpe, conversations, exact_dedup, kernel_quality, line_dedup, mixing, packing, paragraphs, quality_rules, sharding, simhash, suffix_dedup,
 )
 from featsift.llm.common import documents
 
@@ -74,12 +74,16 @@ def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_mcd, op2_paragraph_minhash, op3_line_mph, op4_systematic_mix, op5_simhash_grid,
         op6_exact_fuse, op7_byte_bpe, op8_suffix_repeats, op9_fourier_quality, op10_slot_sharding,
-        op11_cost_packing,
+        op11_cost_packing, op13_conversation_repair,
     )
 }
 
@@ -100,4 +104,5 @@ FROM j GROUP BY doc_id""",
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_conversation_repair": conversations.ORACLE,
 }
