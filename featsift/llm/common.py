@@ -147,3 +147,23 @@ def probed(batches: Iterator[pa.RecordBatch], ready: Callable[[dict], object]) -
                 lo += 1
             if lo < hi and mine == shard[lo]:
                 yield held, batch.slice(lo, hi - lo)
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of the rows that follow each other with equal ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_pylist() for k in keys]
+        at = list(zip(*columns))
+        starts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
+        for lo, hi in zip(starts, starts[1:]):
+            if held and at[lo] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = at[lo]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featsift.llm.common import given_id, real_id, stored
+from featsift.llm.common import given_id, neighbours, real_id, stored
 from featsift.operators.ranking import sequence_by
 
 WHOLE_ROWS = 2000
@@ -218,29 +218,9 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Tables of the rows that follow each other with equal ``keys``."""
-    held: list[pa.RecordBatch] = []
-    last: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_pylist() for k in keys]
-        at = list(zip(*columns))
-        starts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
-        for lo, hi in zip(starts, starts[1:]):
-            if held and at[lo] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = at[lo]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
-    for table in _neighbours(batches, ("conv",)):
+    for table in neighbours(batches, ("conv",)):
         rows = list(zip(table.column("role").to_pylist(), table.column("text").to_pylist()))
         faults, seen = table.column("fault").to_pylist(), set()
         for i, row in enumerate(rows):
@@ -267,14 +247,14 @@ def _ways_rows(conv: int, nth: int, lowest: int, ways: Ways) -> pa.RecordBatch:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _neighbours(batches, ("conv", "segment")):
+    for table in neighbours(batches, ("conv", "segment")):
         ways = segment_ways([r[:1] for r in table.column("role").to_pylist()], table.column("fault").to_pylist())
         segment = table.column("segment")[0].as_py()
         yield _ways_rows(table.column("conv")[0].as_py(), segment, segment, ways)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _neighbours(batches, ("conv", "above")):
+    for table in neighbours(batches, ("conv", "above")):
         rows, parts = table.to_pylist(), {}
         for r in rows:
             way = (r["cost"], r["audit"], r["path"], r["letters"])
@@ -298,7 +278,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _neighbours(batches, ("conv", "segment")):
+    for table in neighbours(batches, ("conv", "segment")):
         first = table.slice(0, 1).to_pylist()[0]
         lines, _ = rebuilt(first["audit"], first["came"], zip(table.column("role").to_pylist(), table.column("text").to_pylist()))
         yield _batch([(first["conv"], first["segment"], "\n".join(lines) if lines else None)], "conv long, segment long, text string")

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsift.llm import (
-    byte_bpe, conversations, exact_dedup, kernel_quality, line_dedup, mixing, packing, paragraphs, quality_rules, sharding, simhash, suffix_dedup,
+    alignment, byte_bpe, conversations, exact_dedup, kernel_quality, line_dedup, mixing, packing, paragraphs, quality_rules, sharding, simhash, suffix_dedup,
 )
 from featsift.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PACKING_VOCABULARY = "word_bpe_49k.json"
+ALIGNED_VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,11 @@ def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ALIGNED_VOCABULARIES)
+    return alignment.align(documents(spark, sf_dir), *paths, full=False)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
 
@@ -83,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_mcd, op2_paragraph_minhash, op3_line_mph, op4_systematic_mix, op5_simhash_grid,
         op6_exact_fuse, op7_byte_bpe, op8_suffix_repeats, op9_fourier_quality, op10_slot_sharding,
-        op11_cost_packing, op13_conversation_repair,
+        op11_cost_packing, op12_token_alignment, op13_conversation_repair,
     )
 }
 
