@@ -45,7 +45,7 @@ END = 1
 LINEAR, QUADRATIC = 4096, 1  # cost of a piece: LINEAR * n + QUADRATIC * n * n
 RUN_TOKENS = 1_500_000  # tokens packed together, about
 RUN_BYTES = 4_000_000  # a partition should hold so much text
-REMEMBERED = 400_000  # words remembered by a task
+REMEMBERED = 1_000_000  # words remembered by a task
 _AT_ONCE = 10_000  # runs of letters encoded in one call
 _CHARS = 6_000_000  # text tokenized in one go
 
