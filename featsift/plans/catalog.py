@@ -867,10 +867,11 @@ def q_pca_embeddings(spark, sf):
 
 @query("pca_project")
 def q_pca_project(spark, sf):
-    """PCA fitted on labelled chi2 top-200 token vectors, applied to the unlabelled rows."""
+    """PCA (250 components) fitted on the labelled rows' token vectors, every column,
+    applied to the unlabelled rows."""
     from pyspark.ml.functions import vector_to_array
 
-    _, te, _ = PL.reduced_tokens(spark, sf, 200, 16)
+    _, te, _ = PL.reduced_tokens(spark, sf)
     return te.select("row_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("pcs"))
 
 
@@ -890,11 +891,11 @@ def q_onehot_fused_score(spark, sf):
 
 @query("pca_wide")
 def q_pca_wide(spark, sf):
-    """D1/D2 at full width: randomised PCA (16 components) of the whole labelled
+    """D1/D2 at full width: randomised PCA (the reference's 250 components) of the whole labelled
     token matrix, centred implicitly, applied to the unlabelled rows."""
     from featsift.operators import randomized_pca as RP
 
-    fit = RP.fit(T.token_matrix(spark, sf, with_columns=False), k=16, oversample=10, power_iters=2)
+    fit = RP.fit(T.token_matrix(spark, sf, with_columns=False), k=250, oversample=10, power_iters=2)
     test = T.token_matrix(spark, sf, "unlabelled", with_columns=False)
     return RP.project(test, fit).select("row_id", F.transform("pcs", lambda x: F.round(x, 6)).alias("pcs"))
 

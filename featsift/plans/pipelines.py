@@ -7,16 +7,18 @@ the reference's 10,000-row scoring chunks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsift.operators import encode as EN
 from featsift.operators import matrix as MX
 from featsift.operators import models as MD
+from featsift.operators import randomized_pca as RP
 from featsift.operators import reduce as RD
 from featsift.operators import scale as SCL
 from featsift.operators import select as SE
@@ -158,27 +160,32 @@ def screening_submission(spark: SparkSession, sf_dir: str, cfg: ScreeningConfig
 # ---------------------------------------------------------------- reduced matrix + metadata
 
 
-def reduced_tokens(spark: SparkSession, sf_dir: str, k_tokens: int = 200, k_pca: int = 16, seed: int = 42,
+def reduced_tokens(spark: SparkSession, sf_dir: str, k_tokens: int | None = None, k_pca: int = 250, seed: int = 42,
                    fit_rows: DataFrame | None = None):
-    """The reduced matrix: PCA of the chi2-selected token vectors, projected for
-    labelled and unlabelled rows (D1 + D2).  Selection and axes are fitted on
-    ``fit_rows(row_id)`` (default: all labelled rows); give the train part of a
-    split so that the labels of held-out rows are never read.  ``k_tokens`` and
-    ``k_pca`` are arguments of the chain (the reference reduces to 250)."""
+    """The reduced matrix: PCA of the token matrix, projected for labelled and
+    unlabelled rows (D1 + D2); (train, test, width).  Every column takes part
+    (wide PCA), or with ``k_tokens`` the chi2-selected ones (narrow PCA).  Selection
+    and axes are fitted on ``fit_rows(row_id)`` (default: all labelled rows); give
+    the train part of a split so that the labels of held-out rows are never read."""
     train = T.token_matrix(spark, sf_dir, "labelled")
     seen = train if fit_rows is None else rows_of(train, fit_rows)
     test = T.token_matrix(spark, sf_dir, "unlabelled", with_columns=False)
+    if k_tokens is None:
+        spine = replace(seen, columns=seen.entries.select("feature_id").distinct(), scan=None)
+        fit = RP.fit(spine, k_pca, seed=seed)
+        vectors = lambda m: RP.project(m, fit).select("row_id", array_to_vector("pcs").alias("features"))
+        return train.rows.join(vectors(train), "row_id"), vectors(test), fit.k
     sel = pin(SE.select_top_k(SCORERS["chi2"](seen), k_tokens, "score", "rank").select("feature_id", "new_index"))
     width = sel.count()
     tr_v = _vectors(train, sel, width, None)
     te_v = _vectors(test, sel, width, None)
     fit_v = tr_v if fit_rows is None else tr_v.join(fit_rows.select("row_id"), "row_id", "left_semi")
     fit = RD.pca_fit(fit_v, k_pca)
-    return RD.pca_project(tr_v, fit), RD.pca_project(te_v, fit), fit
+    return RD.pca_project(tr_v, fit), RD.pca_project(te_v, fit), k_pca
 
 
 def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "target", rounds: int = 30,
-                          patience: int = 10, k_pca: int = 16, seed: int = 42) -> tuple[DataFrame, list, int]:
+                          patience: int = 10, k_pca: int = 250, seed: int = 42) -> tuple[DataFrame, list, int]:
     """The metadata + reduced-matrix pipeline.
 
     ``encoding="target"``: fill -> target encoding (fitted on the train split
@@ -194,7 +201,7 @@ def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "tar
     meta_te = EN.fill_missing(T.document_metadata(spark, sf_dir, "unlabelled"), cols)
     split = pin(SP.split_stratified(meta_tr.select(F.col("ID").alias("row_id"), "label"), "label", 0.2, seed))
     in_train = split.where(F.col("split") == "train").select("row_id")
-    tr_red, te_red, _ = reduced_tokens(spark, sf_dir, k_pca=k_pca, seed=seed, fit_rows=in_train)
+    tr_red, te_red, k_pca = reduced_tokens(spark, sf_dir, k_pca=k_pca, seed=seed, fit_rows=in_train)
     fit_part = meta_tr.join(split.where(F.col("split") == "train").select(F.col("row_id").alias("ID")), "ID", "left_semi")
     if encoding == "target":
         enc = EN.fit_target_encoder(fit_part, cols, weighting="sigmoid", smoothing=10.0)
