@@ -13,9 +13,10 @@ A byte goes if it lies in a ``LENGTH``-byte string that also starts anywhere els
    per file.  A stack scan yields the tree of common-prefix intervals; an interval
    whose occurrences differ in the byte to the left is a maximal repeat group, with
    all its occurrences.  (Others only restate a group that starts one byte earlier.)
-4. Files of more than ``FILE_ROWS`` different segments are not held by one task: their
-   windows are hashed, counted by a grouped aggregate, and repeated where the count
-   is two or more.
+4. Files of more than ``FILE_ROWS`` different segments or ``FILE_BYTES`` are not held by
+   one task and not gathered: their windows are hashed where the documents are, counted
+   by a grouped aggregate, and repeated where the count is two or more.  A run of over
+   ``SEGMENT_WINDOWS`` windows in one file (periodic text) is several segments.
 5. The covered ranges of each document are joined and cut out.
 
 Matches never cross documents.  Defined cases: null text is empty; texts under
@@ -26,6 +27,7 @@ empty result; extra columns are never read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -41,6 +43,8 @@ from featsift.llm.common import body, complete_groups, given_id, real_id, stored
 LENGTH = 400
 GRAM = 64  # a power of two
 FILE_ROWS = 2048
+FILE_BYTES = 1_500_000
+SEGMENT_WINDOWS = 65_536
 _CHUNK = 2_000_000  # bytes hashed at once
 _BLOCK = 1_500_000  # bytes of files taken together for a suffix array
 
@@ -102,6 +106,10 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator
         first, n = begin[number], sizes[number] - length + 1
         mine = low[first:first + n]
         starts = np.r_[0, np.flatnonzero(mine[1:] != mine[:-1]) + 1]
+        # A periodic text is one run however long: it is cut, in places of its own.
+        if n > SEGMENT_WINDOWS:
+            ends = np.r_[starts[1:], n]
+            starts = np.concatenate([np.arange(s, e, SEGMENT_WINDOWS) for s, e in zip(starts.tolist(), ends.tolist())])
         for s, e in zip(starts.tolist(), np.r_[starts[1:], n].tolist()):
             value = mine[s]
             twice = np.count_nonzero(h[first + s:first + e + width - 1] == value) > 1
@@ -202,7 +210,10 @@ def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
 def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int) -> tuple[list, np.ndarray]:
     """Groups (first, last, length) in ``order`` whose occurrences differ to the left,
     and for each place in order the length of its longest group (0: none).
-    ``before``: what stands left of each place in order; negative values are unlike any."""
+    ``before``: what stands left of each place in order; negative values are unlike any.
+
+    Intervals come inner ones first, so a place belongs to the first group that takes
+    it: the places not yet taken are a stack, and each enters and leaves it once."""
     groups, best = [], np.zeros(len(order), dtype=np.int64)
     tied = np.r_[False, common[1:] >= least]
     starts = np.flatnonzero(~tied)
@@ -216,33 +227,33 @@ def maximal_repeats(order: np.ndarray, common: np.ndarray, before: np.ndarray, l
             mine = before[lo:hi]
             # How often the left neighbour changes up to each place: an interval is
             # diverse if it changes inside it.
-            change = np.r_[0, np.cumsum((mine[1:] != mine[:-1]) | (mine[1:] < 0))]
+            change = np.r_[0, np.cumsum((mine[1:] != mine[:-1]) | (mine[1:] < 0))].tolist()
             if change[-1] == 0:
                 continue
-            inside = np.r_[0, common[lo + 1:hi]]
-            found = [(a, b, t) for a, b, t in intervals(inside, least - 1) if t >= least and change[b] > change[a]]
-            for a, b, t in sorted(found, key=lambda g: g[2]):  # longer ones lie inside shorter ones
-                best[lo + a:lo + b + 1] = t
-                groups.append((lo + a, lo + b, t))
+            free, seen = [], 0
+            for a, b, t in intervals(np.r_[0, common[lo + 1:hi]], least - 1):
+                free.extend(range(seen, b + 1))
+                seen = b + 1
+                if t >= least and change[b] > change[a]:
+                    groups.append((lo + a, lo + b, t))
+                    k = bisect.bisect_left(free, a)
+                    best[[lo + x for x in free[k:]]] = t
+                    del free[k:]
     return groups, best
 
 
-_FOUND = "d long, t long, start long, size long, array long, lo long, hi long, file long, segment binary, windows int"
+_FOUND = "d long, t long, start long, size long, array long, lo long, hi long"
 
 
 def _found(n: int, **columns) -> pa.RecordBatch:
-    types = {"segment": pa.binary(), "windows": pa.int32()}
     names = [f.split()[0] for f in _FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([columns.get(c) if columns.get(c) is not None else pa.nulls(n, types.get(c, pa.int64())) for c in names], names=names)
+    return pa.RecordBatch.from_arrays([columns.get(c) if columns.get(c) is not None else pa.nulls(n, pa.int64()) for c in names], names=names)
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], length: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Occurrences (d, t, start, size, array, lo = place in the array), groups (size,
-    array, lo, hi) and, of files over the limit, the segments as they came."""
-    for whole, table in complete_groups(batches, "file", limit, block=3000):
-        if not whole:
-            yield _found(table.num_rows, **{c: table.column(c).combine_chunks() for c in ("d", "t", "file", "segment", "windows")}, start=table.column("start").combine_chunks().cast(pa.int64()))
-            continue
+    """Occurrences (d, t, start, size, array, lo = place in the array) and groups (size,
+    array, lo, hi).  A file has at most ``limit`` segments of ``FILE_BYTES`` in all."""
+    for _, table in complete_groups(batches, "file", limit, block=3000):
         file = table.column("file").to_numpy()
         starts = np.flatnonzero(np.r_[True, file[1:] != file[:-1]])
         texts = table.column("segment").to_pylist()
@@ -352,21 +363,27 @@ def repeats(texts: DataFrame, length: int = LENGTH, limit: int = FILE_ROWS) -> t
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("windows").alias("windows"), F.max("twice").alias("twice")
     )
     distinct = stored(distinct, "segments")
-    files = distinct.groupBy("file").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"), F.max("twice").alias("again"))
+    size = F.sum((F.col("windows") + F.lit(length)).cast("long")).alias("bytes")
+    files = distinct.groupBy("file").agg(F.count(F.lit(1)).alias("kinds"), size, F.min("n").alias("least"), F.max("twice").alias("again"))
     # Where all segments have copies nothing is open; one alone matters if periodic.
-    unsure = files.where((F.col("least") == 1) & ((F.col("kinds") > 1) | F.col("again"))).select("file")
-    wanted = distinct.join(unsure, "file").select("file", "windows", "first.*")
-    per_doc = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("file", "start", "windows")).alias("wanted"))
-    # A row repeated under one id is fetched once for each copy; one is enough.
-    cut = texts.join(per_doc, ["d", "t"]).select("d", "t", "raw", "wanted").mapInArrow(lambda it: _cut(it, length), _CUT)
-    dealt = cut.repartition("file").sortWithinPartitions("file")
+    unsure = files.where((F.col("least") == 1) & ((F.col("kinds") > 1) | F.col("again")))
+    unsure = stored(unsure.select("file", ((F.col("kinds") > limit) | (F.col("bytes") > FILE_BYTES)).alias("dense")), "files")
+
+    def fetched(files: DataFrame) -> DataFrame:
+        """The text of one copy of each segment of ``files``, on the tasks of its document."""
+        wanted = distinct.join(files.select("file"), "file").select("file", "windows", "first.*")
+        per_doc = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("file", "start", "windows")).alias("wanted"))
+        # A row repeated under one id is fetched once for each copy; one is enough.
+        return texts.join(per_doc, ["d", "t"]).select("d", "t", "raw", "wanted").mapInArrow(lambda it: _cut(it, length), _CUT)
+
+    dealt = fetched(unsure.where("NOT dense")).repartition("file").sortWithinPartitions("file")
     found = stored(dealt.mapInArrow(lambda it: _arrays(it, length, limit), _FOUND), "repeats")
     whole = occ.join(distinct.where("n > 1").select("file", "segment"), ["file", "segment"])
     covers = whole.select("d", "t", F.col("start").cast("long").alias("start"), (F.col("windows") + F.lit(length - 1)).cast("long").alias("size"))
-    covers = covers.unionByName(found.where("d IS NOT NULL AND size IS NOT NULL").select("d", "t", "start", "size"))
-    dense = found.where("segment IS NOT NULL")
-    if not dense.isEmpty():
-        each = stored(dense.select("d", "t", "start", "windows", "segment").mapInArrow(lambda it: _windows(it, length), "h binary, d long, t long, start long"), "windows")
+    covers = covers.unionByName(found.where("d IS NOT NULL").select("d", "t", "start", "size"))
+    if not unsure.where("dense").isEmpty():
+        segments = fetched(unsure.where("dense")).select("d", "t", "start", "windows", "segment")
+        each = stored(segments.mapInArrow(lambda it: _windows(it, length), "h binary, d long, t long, start long"), "windows")
         again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
         covers = covers.unionByName(each.join(again, "h").select("d", "t", "start", F.lit(length).cast("long").alias("size")))
     return covers, found
@@ -377,7 +394,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     group), size, doc_id, start."""
     _, found = repeats(identified(docs), length)
     groups = found.where("hi IS NOT NULL").select("array", "lo", "hi", "size")
-    spots = found.where("d IS NOT NULL AND size IS NOT NULL").select("array", F.col("lo").alias("at"), "d", "start")
+    spots = found.where("d IS NOT NULL").select("array", F.col("lo").alias("at"), "d", "start")
     met = groups.join(spots, "array").where(F.col("at").between(F.col("lo"), F.col("hi")))
     return met.select("array", "lo", "hi", "size", given_id("d").alias("doc_id"), "start")
 

@@ -97,7 +97,8 @@ def near_groups(prints):
 
 def shingle_set(line):
     w = words(lower(line))
-    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    n = min(5, len(w))
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1) if n)
 
 
 def near_paragraphs(docs):

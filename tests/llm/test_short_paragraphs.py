@@ -1,25 +1,6 @@
 """Paragraphs of one to four words group with their copies."""
 
-import pytest
-
 from featsift.llm import paragraphs
-from tests.llm import brute
-from tests.llm.conftest import pairs
-
-
-def _shingle_set(line):
-    w = brute.words(brute.lower(line))
-    n = min(5, len(w))
-    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1) if n)
-
-
-@pytest.mark.parametrize("name", ["middle", "awkward"])
-def test_against_brute_force(monkeypatch, request, name):
-    docs = request.getfixturevalue(name)
-    monkeypatch.setattr(brute, "shingle_set", _shingle_set)
-    want = brute.near_paragraphs(pairs(docs))
-    got = {(r.doc_id, r.paragraph): (r.component_id, r.n_paragraphs, r.removed) for r in paragraphs.near_paragraphs(docs).collect()}
-    assert got == {spot: (first[0], size, spot != first) for spot, (first, size) in want.items()}
 
 
 def test_short_lines(spark):
