@@ -95,11 +95,11 @@ def q_anova_f(spark, sf):
     + """, ranked AS (
   SELECT feature_id, f_score,
          row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature_id ASC) AS rank FROM anova)
-SELECT feature_id, round(f_score, 6) AS f_score, rank, rank - 1 AS new_index FROM ranked WHERE rank <= 2000""",
+SELECT feature_id, round(f_score, 6) AS f_score, rank, rank - 1 AS new_index FROM ranked WHERE rank <= 100000""",
 )
 def q_topk_anova(spark, sf):
-    """T4: the 2,000 best tokens by F (best first)."""
-    sel = SE.select_top_k(SC.anova_f(T.token_matrix(spark, sf)), 2000, "f_score", "rank")
+    """T4: the 100,000 best tokens by F, best first (the reference's k)."""
+    sel = SE.select_top_k(SC.anova_f(T.token_matrix(spark, sf)), 100_000, "f_score", "rank")
     return sel.select("feature_id", r6("f_score").alias("f_score"), "rank", "new_index")
 
 
@@ -279,11 +279,11 @@ def q_topk_variance(spark, sf):
     O.with_(O.TOKENS, O.MOMENTS)
     + """, ranked AS (
   SELECT feature_id, std, row_number() OVER (ORDER BY std DESC NULLS LAST, feature_id ASC) AS rank FROM mom)
-SELECT feature_id, round(std, 6) AS std, rank, rank - 1 AS new_index FROM ranked WHERE rank <= 10000""",
+SELECT feature_id, round(std, 6) AS std, rank, rank - 1 AS new_index FROM ranked WHERE rank <= 100000""",
 )
 def q_topk_std(spark, sf):
-    """The 10,000 highest-std columns, best first."""
-    sel = SE.select_top_k(ST.feature_std(T.token_matrix(spark, sf)), 10_000, "std", "rank")
+    """The 100,000 highest-std columns, best first (the reference's k)."""
+    sel = SE.select_top_k(ST.feature_std(T.token_matrix(spark, sf)), 100_000, "std", "rank")
     return sel.select("feature_id", r6("std").alias("std"), "rank", "new_index")
 
 

@@ -181,7 +181,7 @@ def reduced_tokens(spark: SparkSession, sf_dir: str, k_tokens: int | None = None
     te_v = _vectors(test, sel, width, None)
     fit_v = tr_v if fit_rows is None else tr_v.join(fit_rows.select("row_id"), "row_id", "left_semi")
     fit = RD.pca_fit(fit_v, k_pca)
-    return RD.pca_project(tr_v, fit), RD.pca_project(te_v, fit), k_pca
+    return RD.pca_project(tr_v, fit), RD.pca_project(te_v, fit), fit.k
 
 
 def fused_metadata_scores(spark: SparkSession, sf_dir: str, encoding: str = "target", rounds: int = 30,

@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-SLOW = {"gbt_early_stop", "gbt_eval_curve", "onehot_fused_score", "fused_score", "gbt_score"}
+SLOW = {"boost_early_stop", "gbt_early_stop", "gbt_eval_curve", "onehot_fused_score", "fused_score", "gbt_score"}
 # Run with fewer rounds in test_chains.
 SLOW |= {"reduced_gbt_submission", "metadata_gbt_score", "metadata_random_accuracy", "onehot_aligned_score"}
 
