@@ -115,6 +115,29 @@ def q_logreg_share(spark, sf):
     return out.select("row_id", F.round("p", 4).alias("p"), "label_pred")
 
 
+@query(
+    "logreg_penalised",
+    O.with_(O.TOKENS, _SHARES).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, k AS (SELECT CAST(count(*) FILTER (x = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (x = 1) AS DOUBLE) AS n1,
+                   CAST(sum(label) FILTER (x = 0) AS DOUBLE) AS y0, CAST(sum(label) FILTER (x = 1) AS DOUBLE) AS y1 FROM has),
+newton(i, b, w) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, b - (gb * hww - gw * hbw) / (hbb * hww - hbw * hbw), w - (gw * hbb - gb * hbw) / (hbb * hww - hbw * hbw)
+  FROM (SELECT i, b, w, n0 * p0 - y0 + n1 * p1 - y1 AS gb, n1 * p1 - y1 + w AS gw,
+               n0 * p0 * (1 - p0) + n1 * p1 * (1 - p1) AS hbb, n1 * p1 * (1 - p1) AS hbw, n1 * p1 * (1 - p1) + 1 AS hww
+        FROM (SELECT *, 1 / (1 + exp(-b)) AS p0, 1 / (1 + exp(-b - w)) AS p1 FROM newton, k) AS a) AS b WHERE i < 40),
+fitted AS (SELECT b, w FROM newton WHERE i = 40)
+SELECT row_id, round(1 / (1 + exp(-b - w * x)), 4) AS p, CAST(b + w * x > 0 AS INTEGER) AS label_pred FROM has, fitted""",
+)
+def q_logreg_penalised(spark, sf):
+    """L1 with its penalty (C = 1 on the summed loss, intercept free) on one 0/1 column; the
+    SQL runs Newton's steps."""
+    _, vectors = _one_column(spark, sf)
+    out = MD.score(MD.logistic_regression(vectors.count(), tol=1e-12).fit(vectors), vectors, ["row_id"])
+    return out.select("row_id", F.round("p", 4).alias("p"), "label_pred")
+
+
 @query(
     "logreg_share_replay",
     O.with_(O.TOKENS, _SHARES, _UNLABELLED_HAS)
