@@ -122,13 +122,21 @@ def block_pairs(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
     return other.withColumn("pair", pair).drop("__n", "__nb", "__b", "__o")
 
 
-def behind_index(index: DataFrame, probes: DataFrame, salts: int, item: Column) -> DataFrame:
+def behind_index(index: DataFrame, probes: DataFrame, salts: int, item: Column, hot: DataFrame | None = None) -> DataFrame:
     """The rows of ``probes(shard, ...)``, sorted behind the row of ``index(shard, ...)``
     of their shard, for ``probed``.  A shard's probes are dealt to ``salts`` groups by
-    the hash ``item``; its index row goes to each."""
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    rows = index.select("*", salt.alias("salt"), F.lit(False).alias("probe"))
-    dealt = probes.select("*", F.pmod(item, F.lit(salts)).cast("int").alias("salt"), F.lit(True).alias("probe"))
+    the hash ``item`` (or as many as the small table ``hot(shard, salts)`` says); its
+    index row goes to each."""
+    names, wanted = index.columns, probes.columns
+    if hot is None:
+        index, probes = (df.withColumn("salts", F.lit(salts)) for df in (index, probes))
+    else:
+        index, probes = (
+            df.join(F.broadcast(hot), "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(salts))) for df in (index, probes)
+        )
+    salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    rows = index.select(*names, salt.alias("salt"), F.lit(False).alias("probe"))
+    dealt = probes.select(*wanted, F.pmod(item, F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("probe"))
     both = rows.unionByName(dealt, allowMissingColumns=True)
     return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "probe")
 

@@ -6,18 +6,19 @@ lines except in the document with the smallest id.
 
 1. Line keys become 128-bit hashes; one grouped aggregate (combined before the
    shuffle, so a line in every document costs one row per task) gives each distinct
-   hash its row count and smallest and largest document.
-2. Hashes held by several documents are the index.  Each shard of it is one row: a
-   minimal perfect hash (slots of a peeled key graph, ranked) and compact arrays of
-   fingerprints, counts and smallest documents in rank order.
-3. Documents probe the arrays with their line hashes, dealt by shard; where a shard
-   has over ``PROBE_ROWS`` of them, to several copies of its index row, behind which
-   they stream in batches.  No line text travels.  Hashes in more than 1 / ``HOT_SHARE`` of all line rows (hence fewer
-   than ``HOT_SHARE`` of them) are kept out of the probes and given to every task.
-4. Each document gets back the set of hashes it loses and is rebuilt.
+   hash its row count and smallest document.
+2. All distinct hashes are the index.  Each shard of it is one row: a minimal perfect
+   hash (slots of a peeled key graph, ranked) and compact arrays of fingerprints,
+   counts and smallest documents in rank order.
+3. Documents probe the arrays with their line hashes, dealt by shard; every answer
+   comes from the arrays.  Probes stream in batches behind the index row; a shard with
+   many of them (the counts of its hashes tell) gives its row to several groups, so a
+   line that every document holds is answered by many tasks.  No line text travels.
+4. Each text gets back the set of hashes it loses and is rebuilt.
 
 Defined cases: null or empty text is one empty line; rows with the same doc_id are
-one document; a null doc_id sorts after all others; empty input gives an empty
+one document; rows with a null doc_id are one that sorts after all others (answers
+return by id and text, so many such rows never form one group); empty input gives an empty
 result; clashing extra columns are never read.
 """
 
@@ -29,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featsift.llm.common import NULL_ID, behind_index, body, given_id, probed, real_id, stored
+from featsift.llm.common import behind_index, body, given_id, probed, real_id, stored
 from featsift.llm.peeling import peelable, slots
 
 MIN_POINTS = 10
-HOT_SHARE = 2000
 SHARD_KEYS = 100_000  # keys of the index per shard, about
-PROBE_ROWS = 500_000  # probes that meet one copy of a shard's index, about
+PROBE_ROWS = 500_000  # probes that meet one copy of a shard's index, at most about
+LEAST_PROBES = 20_000  # ... and at least, so that few copies are made of little work
+HOT_SHARDS = 100_000  # shards that hold over 1 / HOT_SHARDS of all probes: fewer than HOT_SHARDS
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -140,42 +142,56 @@ def _build(key, table):
     return pa.Table.from_pylist([{"shard": key[0].as_py(), **row}], schema=_INDEX_ARROW)
 
 
-def line_index(lines: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """``(index, hot, shards)`` of ``lines(d, h)``: d a document id, h a line hash."""
-    held = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
-    shared = stored(held.where(F.col("first") < F.col("last")).drop("last"), "shared-lines")
-    n_keys, n_rows = shared.agg(F.count(F.lit(1)), F.sum("n")).first()
+def line_index(lines: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """``(index, hot, shards, probes)`` of ``lines(d, h)``: d a document id, h a line hash;
+    ``hot(shard, salts)``: the shards whose probes need more copies of their row than
+    others, fewer than ``HOT_SHARDS``; ``probes``: rows of ``lines``."""
+    held = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first")), "distinct-lines")
+    n_keys, n_rows = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(8, -(-n_keys // SHARD_KEYS))
-    # Fewer than HOT_SHARE keys can each hold more than that share of the rows.
-    hot = shared.where(F.col("n") * HOT_SHARE > F.lit(int(n_rows or 0)))
-    index = shared.groupBy(shard_of(shards).alias("shard")).applyInArrow(_build, _INDEX)
-    return stored(index, "line-index"), hot, shards
+    index = held.groupBy(shard_of(shards).alias("shard")).applyInArrow(_build, _INDEX)
+    return stored(index, "line-index"), stored(hot_shards(held, n_rows, shards), "hot-shards"), shards, n_rows
 
 
 def shard_of(shards: int):
     return F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
 
 
+def group_rows(spark: SparkSession, n_rows: int) -> int:
+    """Probes for one copy of an index row: a small part of what a task gets anyway."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(PROBE_ROWS, max(LEAST_PROBES, n_rows // (4 * tasks)))
+
+
+def hot_shards(held: DataFrame, n_rows: int, shards: int) -> DataFrame:
+    rows = group_rows(held.sparkSession, n_rows)
+    probes = held.groupBy(shard_of(shards).alias("shard")).agg(F.sum("n").alias("probes"))
+    hot = probes.where((F.col("probes") > F.lit(2 * max(rows, n_rows // shards))) & (F.col("probes") * HOT_SHARDS > F.lit(n_rows)))
+    return hot.select("shard", F.ceil(F.col("probes") / F.lit(rows)).cast("int").alias("salts"))
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, probes in probed(batches, Shard):
         count, first = shard.probe(probes.column("h").to_pylist())
         lost = (count > 1) & (first < probes.column("d").to_numpy())
-        yield probes.select(["d", "h"]).filter(pa.array(lost))
+        yield probes.select(["d", "tag", "h"]).filter(pa.array(lost))
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
-    """``(d, lost)``: the hashes of the lines that document d loses."""
-    lines = docs.select(real_id().alias("d"), F.explode(line_hashes(body())).alias("h"))
+    """``(d, tag, lost)``: the hashes of the lines that the texts of document d with the
+    hash ``tag`` lose.  A line's fate hangs on d and h alone, so equal tags do no harm."""
+    lines = docs.select(real_id().alias("d"), text_tag(), F.explode(line_hashes(body())).alias("h"))
     lines = stored(lines, "lines")
-    index, hot, shards = line_index(lines)
-    known = lines.join(F.broadcast(hot), "h")
-    by_hot = known.where(F.col("first") < F.col("d")).select("d", "h")
-    rest = lines.join(F.broadcast(hot), "h", "left_anti").withColumn("shard", shard_of(shards))
-    # The index follows the shared lines, the probes all lines.
-    salts = max(1, -(-lines.count() // (shards * PROBE_ROWS)))
-    dealt = behind_index(index, rest, salts, F.xxhash64("d", "h"))
-    by_index = dealt.mapInArrow(_probe, "d long, h binary")
-    return by_hot.unionByName(by_index).groupBy("d").agg(F.collect_set("h").alias("lost"))
+    index, hot, shards, n_rows = line_index(lines)
+    salts = max(1, -(-n_rows // (shards * group_rows(docs.sparkSession, n_rows))))
+    probes = lines.withColumn("shard", shard_of(shards))
+    dealt = behind_index(index, probes, salts, F.xxhash64("d", "tag", "h"), hot)
+    answers = dealt.mapInArrow(_probe, "d long, tag long, h binary")
+    return answers.groupBy("d", "tag").agg(F.collect_set("h").alias("lost"))
+
+
+def text_tag(column: str = "text"):
+    return F.xxhash64(body(column)).alias("tag")
 
 
 _REBUILT = T.StructType([
@@ -202,7 +218,7 @@ def rebuilt(text: pa.Array, lost: pa.Array) -> pa.Array:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text (what stays), n_lines, n_dropped, kept_sha256 for each row."""
     lost = lost_lines(docs)
-    rows = docs.select(real_id().alias("d"), body().alias("raw")).join(lost, "d", "left")
+    rows = docs.select(real_id().alias("d"), text_tag(), body().alias("raw")).join(lost, ["d", "tag"], "left")
     r = rows.select("d", rebuilt("raw", "lost").alias("r"))
     return r.select(
         given_id("d").alias("doc_id"), F.col("r.text").cast("string").alias("text"),
@@ -215,8 +231,8 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     ``n_chars`` (where there is one) follows the text."""
     lost = lost_lines(docs)
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), real_id().alias("d"))
-    r = rows.join(lost, "d", "left").select("row", rebuilt(body("row.text"), "lost").alias("r"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), real_id().alias("d"), text_tag())
+    r = rows.join(lost, ["d", "tag"], "left").select("row", rebuilt(body("row.text"), "lost").alias("r"))
     text = F.when(F.col("row.text").isNotNull(), F.col("r.text").cast("string")).alias("text")
     new = {"text": text, "n_chars": F.char_length(F.col("r.text").cast("string")).cast(dict(docs.dtypes).get("n_chars", "long")).alias("n_chars")}
     return r.select(*[new[c] if c in new else F.col("row")[c].alias(c) for c in names])

@@ -22,6 +22,7 @@ def groups(monkeypatch):
     for module in (line_dedup, exact_dedup):
         monkeypatch.setattr(module, "behind_index", noted)
         monkeypatch.setattr(module, "PROBE_ROWS", 100)
+    monkeypatch.setattr(line_dedup, "LEAST_PROBES", 50)
     return sizes
 
 
@@ -29,7 +30,27 @@ def test_few_shared_lines_among_many(spark, groups):
     rows = [(d, "\n".join([f"shared line {d % 7} of the text"] + [f"own line {d} {k} of the text" for k in range(40)])) for d in range(200)]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.dedup_lines(rows)
-    assert sum(groups) > 7000 and max(groups) < 250
+    assert sum(groups) == 200 * 41 and max(groups) < 250
+
+
+def test_a_line_in_every_document_is_answered_by_the_index_in_many_groups(spark, groups):
+    rows = [(d, f"the same line in every document\nown line {d} of this text") for d in range(4000)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.dedup_lines(rows)
+    # Every line is a probe, and the group of the hot line's shard is split.
+    assert sum(groups) == 8000 and max(groups) < 250
+
+
+def test_every_distinct_line_is_indexed(spark):
+    lines = spark.createDataFrame([(d, line_dedup.line_hash(f"a line of text {k}".encode())) for d in range(20) for k in range(d)], "d long, h binary")
+    index, hot, _, probes = line_dedup.line_index(lines)
+    assert index.agg(F.sum("n")).first()[0] == 19 and probes == 190 and hot.count() == 0
+
+
+def test_rows_without_id_do_not_meet_each_other(spark):
+    rows = [(1, "first line of the text\nsecond line of the text")] + [(None, f"first line of the text\nanother line {k} of text") for k in range(3000)]
+    got = line_dedup.lost_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 3000 and got.agg(F.max(F.size("lost"))).first()[0] == 1
 
 
 def test_small_snapshot_and_many_new(spark, groups):
