@@ -125,7 +125,9 @@ def members(batch: DataFrame, texts: DataFrame, snap: Snapshot) -> DataFrame:
     def text_of(rows: DataFrame, side: str) -> DataFrame:
         want = pairs.select("digest", F.col(side).alias("d"))
         # Planned as a merge whatever the size, so that its cost follows the input.
-        got = rows.join(want.hint("merge"), "d").where(F.unhex(F.sha2("raw", 256)) == F.col("digest"))
+        # By id and digest, so that rows that share an id (or have none) do not all meet.
+        own = rows.withColumn("digest", F.unhex(F.sha2("raw", 256)))
+        got = own.join(want.hint("merge"), ["d", "digest"])
         return got.groupBy("digest").agg(F.min("raw").alias(f"raw_{side}"))
 
     same = text_of(texts, "new").join(text_of(snap.texts, "last"), "digest").where("raw_new = raw_last")

@@ -62,6 +62,17 @@ def test_small_snapshot_and_many_new(spark, groups):
     assert sum(groups) == 5001 and max(groups) < 250
 
 
+def test_texts_without_id_are_compared_by_digest(spark):
+    texts = [f"a text without id {k}" for k in range(2000)]
+    old, new = (spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string") for _ in range(2))
+    snap = exact_dedup.snapshot(old)
+    batch = exact_dedup.grouped(exact_dedup.digested(new))
+    met = exact_dedup.members(batch, new.select(F.lit(common.NULL_ID).alias("d"), common.body().alias("raw")), snap)
+    assert met.count() == 2000
+    got = exact_dedup.dedup(new, snap).collect()
+    assert len(got) == 2000 and all(r.group_size == 2 and r.doc_id is None for r in got)
+
+
 @pytest.mark.parametrize("size", [1, 4, 100])
 def test_probed_batches(size):
     """Batches cut anywhere; shards without an index row or without probes."""
