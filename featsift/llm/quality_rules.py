@@ -44,6 +44,8 @@ MIN_GROUP = 200
 REWEIGHT = 0.975
 CUTOFF = 1 - 1e-6  # chi-square quantile beyond which a document is an outlier
 BINS_PER_DOUBLING = 16
+MAX_SENT = 20_000  # rows of estimates (some 250 bytes each) that go to every task
+SALTS = 64
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _NOT_POINTS = _SPACES + bytes(range(0x80, 0xC0))  # with continuation bytes
@@ -188,10 +190,28 @@ def _estimate(summed: DataFrame, by: list[str], scale: float) -> DataFrame:
     return summed.select(*by, fitted(scale)(F.col("n"), F.array(*_SUMS)).alias("f")).select(*by, "f.*")
 
 
+def beside(rows: DataFrame, pools: DataFrame, on: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """``rows`` joined to the stored table ``pools``, a few rows for each pool, by pairs of
+    columns, equal with nulls; those of ``pools`` are dropped.  ``pools`` is counted: up to
+    ``MAX_SENT`` rows go to every task, more are copied to ``SALTS`` groups each, to which
+    the rows of a pool are dealt by their places, as one pool (or one text's copies) may
+    hold a third of all rows."""
+    kept = rows.columns
+    if pools.count() <= MAX_SENT:
+        pools = F.broadcast(pools)
+    else:
+        salt, other = fresh(rows, "salt"), fresh(pools, "salt_of_pool")
+        rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        pools = pools.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        on = [*on, (salt, other)]
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in on])
+    return rows.join(pools, same, how).select(*kept, *[c for c in pools.columns if c not in {b for _, b in on}])
+
+
 def _closest(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
     """The sums of the closest ``share`` of each (g, start), whole bins at a time."""
     level = F.floor(F.log2(F.greatest(distance(), F.lit(1e-6))) * BINS_PER_DOUBLING).cast("int")
-    binned = _summed(rows.join(params, "g").withColumn("bin", level), ["g", "start", "bin"])
+    binned = _summed(beside(rows, params.withColumnRenamed("g", "g2"), [("g", "g2")]).withColumn("bin", level), ["g", "start", "bin"])
     # At most a few hundred bins in a window group, whatever the group's size.
     w = Window.partitionBy("g", "start")
     upto = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -253,7 +273,7 @@ def robust_estimates(rows: DataFrame, share: float = SUBSET, steps: int = STEPS)
         params = stored(_estimate(_closest(rows, params, share), ["g", "start"], consistency(share)), "mcd")
     first = Window.partitionBy("g").orderBy("logdet", "start")  # two rows each
     best = params.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "start", "logdet")
-    near = rows.join(best, "g").where(distance() <= chi2_quantile(REWEIGHT, P))
+    near = beside(rows, stored(best.withColumnRenamed("g", "g2"), "mcd"), [("g", "g2")]).where(distance() <= chi2_quantile(REWEIGHT, P))
     return stored(_estimate(_summed(near, ["g"]), ["g"], consistency(REWEIGHT)), "mcd")
 
 
@@ -262,15 +282,16 @@ def rejecting(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     and the struct column ``stats``."""
     docs = stats.select("lang", "source", *[x.alias(n) for x, n in zip(vector("stats"), _X)], base_failed("stats").alias("bad"))
     pool = stored(pools(docs), "pools")
-    same = F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2"))
+    same = [("lang", "l2"), ("source", "s2")]
     renamed = [F.col("lang").alias("l2"), F.col("source").alias("s2"), "g"]
     # Rows that fail the base rules do not shape the estimate of ordinary text.
-    rows = docs.where(~F.col("bad")).join(feeds(pool).select(*renamed), same).select("g", *_X)
+    fed = stored(feeds(pool).select(*renamed), "feeds")
+    rows = beside(docs.where(~F.col("bad")), fed, same).select("g", *_X)
     best = robust_estimates(rows)
-    judge = pool.select(*renamed).join(best, "g", "left").drop("g", "logdet")
-    out = stats.join(judge, same, "left").withColumns({n: x for x, n in zip(vector("stats"), _X)})
+    judge = stored(pool.select(*renamed).join(best, "g", "left").drop("g", "logdet"), "judge")
+    out = beside(stats, judge, same, "left").withColumns({n: x for x, n in zip(vector("stats"), _X)})
     far = F.when(F.col(_Q[0]).isNotNull(), distance())
-    out = out.withColumn("distance2", far).drop("l2", "s2", *_X, *_M, *_Q)
+    out = out.withColumn("distance2", far).drop(*_X, *_M, *_Q)
     fine = F.coalesce(F.col("distance2") <= chi2_quantile(cutoff, P), F.lit(True))
     return out.withColumn("kept", ~base_failed("stats") & fine)
 

@@ -33,6 +33,18 @@ def test_junk_in_a_small_group(spark, lang, source):
     _verdicts(spark, rows)
 
 
+def test_many_pools_meet_their_rows_by_salt(spark, monkeypatch):
+    plain, junk = _texts()
+    rows = [(plain(), "en", "a", True) for _ in range(300)] + [(junk(), "en", "a", False) for _ in range(10)]
+    rows += [(plain(), None, None, True) for _ in range(20)] + [(junk(), None, "b", False) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, lang, source, len(t)) for i, (t, lang, source, _) in enumerate(rows)], SCHEMA)
+    sent = {r.doc_id: (r.kept, round(r.distance2, 6)) for r in quality_rules.judged(docs).collect()}
+    monkeypatch.setattr(quality_rules, "MAX_SENT", 0)
+    monkeypatch.setattr(quality_rules, "SALTS", 5)
+    dealt = {r.doc_id: (r.kept, round(r.distance2, 6)) for r in quality_rules.judged(docs).collect()}
+    assert sent == dealt and {d for d, (kept, _) in sent.items() if kept} == {i for i, row in enumerate(rows) if row[3]}
+
+
 def test_a_small_table(spark):
     plain, junk = _texts()
     _verdicts(spark, [(plain(), "en", "a", True) for _ in range(60)] + [(junk(), "en", "a", False) for _ in range(5)])
