@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featsift.operators.hot import join_apart
 from featsift.operators.ranking import top_k
 
 # Fitted tables with at most this many rows are broadcast by the operators; a
@@ -102,16 +103,24 @@ def prefix_features(m: WideMatrix, k: int) -> WideMatrix:
 
 
 def gather(m: WideMatrix, selected: DataFrame, bound_rows: int | None = None) -> WideMatrix:
-    """Keep the fitted ``selected(feature_id, new_index)`` columns, re-indexed."""
+    """Keep the fitted ``selected(feature_id, new_index)`` columns, re-indexed.  A selection
+    without a bound is joined as in ``drop_features``."""
     sel = selected.select("feature_id", "new_index")
-    entries = join_fitted(m.entries, sel, "feature_id", bound_rows=bound_rows)
+    if bound_rows is not None and bound_rows <= BROADCAST_ROWS:
+        entries = join_fitted(m.entries, sel, "feature_id", bound_rows=bound_rows)
+    else:
+        entries = join_apart(m.entries, sel, "feature_id")
     return m.with_entries(entries, sel.select("feature_id", "new_index"))
 
 
 def drop_features(m: WideMatrix, dropped: DataFrame, bound_rows: int | None = None) -> WideMatrix:
-    """Delete the listed columns (anti join)."""
-    d = dropped.select("feature_id")
-    entries = join_fitted(m.entries, d, "feature_id", "left_anti", bound_rows)
+    """Delete the listed columns (anti join).  A list without a bound meets the frequent
+    columns' cells where they are and the others through a shuffle."""
+    d = dropped.select("feature_id").distinct()
+    if bound_rows is not None and bound_rows <= BROADCAST_ROWS:
+        entries = join_fitted(m.entries, d, "feature_id", "left_anti", bound_rows)
+    else:
+        entries = join_apart(m.entries, d, "feature_id", "left_anti")
     cols = join_fitted(m.columns, d, "feature_id", "left_anti", bound_rows) if m.columns is not None else None
     return m.with_entries(entries, cols)
 

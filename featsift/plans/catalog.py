@@ -996,4 +996,4 @@ def q_metadata_subset(spark, sf):
     return EN.clean_metadata(docs, key="ID", subset=["lang"])
 
 
-from featsift.plans import boosted, centred, chains, closed_forms  # noqa: E402,F401  (they register their queries)
+from featsift.plans import boosted, centred, chains, closed_forms, table_models  # noqa: E402,F401  (they register their queries)

@@ -24,6 +24,7 @@ from featsift.operators import scale as SCL
 from featsift.operators import select as SE
 from featsift.operators import split as SP
 from featsift.operators import stats as ST
+from featsift.operators.hot import join_apart
 from featsift.operators.scores import SCORERS
 from featsift.session import pin
 from featsift.sources import tables as T
@@ -87,7 +88,7 @@ def fit_screening(train: MX.WideMatrix, cfg: ScreeningConfig) -> FittedScreening
         else:
             kept = ST.nonconstant_features(m, cfg.drop_constant_eps)
         m = MX.WideMatrix(
-            entries=m.entries.join(kept, "feature_id", "left_semi"), rows=m.rows, columns=kept, label_col=m.label_col
+            entries=join_apart(m.entries, kept, "feature_id", "left_semi"), rows=m.rows, columns=kept, label_col=m.label_col
         )
     if cfg.scorer:
         selected = SE.select_top_k(SCORERS[cfg.scorer](m), cfg.k, "score", cfg.layout)
