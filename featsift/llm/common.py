@@ -50,16 +50,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def complete_groups(
-    batches: Iterator[pa.RecordBatch], key: str, limit: int, block: int = 200_000
+    batches: Iterator[pa.RecordBatch], key: str, limit: int, block: int = 200_000,
+    block_bytes: int = 2**62, limit_bytes: int = 2**62,
 ) -> Iterator[tuple[bool, pa.Table]]:
     """Cut a stream of rows sorted by ``key`` into tables of whole groups.
 
     Yields ``(True, table)`` with complete groups, ``(False, table)`` with rows of
-    a group that has more than ``limit`` rows; such a group is never held in
+    a group that has more than ``limit`` rows or ``limit_bytes``; a table is cut at
+    ``block`` rows or ``block_bytes``.  A group over a limit is never held in
     memory as a whole, its rows pass through for another way of handling.
     """
     held: list[pa.Table] = []
-    n_held, passing = 0, None
+    n_held, bytes_held, passing = 0, 0, None
 
     def flush(table: pa.Table, last: bool):
         nonlocal passing
@@ -76,7 +78,10 @@ def complete_groups(
                 continue
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             ends = np.r_[starts[1:], len(keys)]
-            big = np.flatnonzero(ends - starts > limit)
+            over = ends - starts > limit
+            if table.nbytes > limit_bytes:
+                over |= np.array([hi - lo > 1 and table.slice(lo, hi - lo).nbytes > limit_bytes for lo, hi in zip(starts.tolist(), ends.tolist())])
+            big = np.flatnonzero(over)
             if len(big):
                 s = int(starts[big[0]])
                 if s:
@@ -96,30 +101,35 @@ def complete_groups(
             continue
         held.append(pa.Table.from_batches([batch]))
         n_held += batch.num_rows
-        if n_held >= block:
+        bytes_held += batch.nbytes
+        if n_held >= block or bytes_held >= block_bytes:
             table = pa.concat_tables(held)
             held.clear()
             yield from flush(table, False)
-            n_held = sum(t.num_rows for t in held)
+            n_held, bytes_held = sum(t.num_rows for t in held), sum(t.nbytes for t in held)
     if held:
         table = pa.concat_tables(held)
         held.clear()
         yield from flush(table, True)
 
 
-def block_pairs(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
+def block_pairs(rows: DataFrame, key: str, item: str, block: int, weight: str | None = None, room: int = 1) -> DataFrame:
     """Deal the rows of very large groups to pairs of blocks.
 
     A group of n rows becomes ceil(n / block) blocks (by hash of ``item``); every
     pair of blocks is one new group ``pair``, so any two rows meet in some group,
-    no group has many more than 2 * block rows, and the groups run in parallel.
+    no group has many more than 2 * block rows, and the groups run in parallel.  With
+    ``weight`` a block also has about ``room`` of it at most.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    dealt = rows.join(sizes, key).withColumn("__nb", F.ceil(F.col("__n") / F.lit(block)).cast("int"))
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.sum(weight) / F.lit(room)))
+    sizes = rows.groupBy(key).agg(blocks.cast("int").alias("__nb"))
+    dealt = rows.join(sizes, key)
     dealt = dealt.withColumn("__b", F.pmod(F.xxhash64(item), F.col("__nb")).cast("int"))
     other = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
     pair = F.xxhash64(F.col(key), F.least("__b", "__o"), F.greatest("__b", "__o"))
-    return other.withColumn("pair", pair).drop("__n", "__nb", "__b", "__o")
+    return other.withColumn("pair", pair).drop("__nb", "__b", "__o")
 
 
 def behind_index(index: DataFrame, probes: DataFrame, salts: int, item: Column, hot: DataFrame | None = None) -> DataFrame:

@@ -13,12 +13,13 @@ of ``THRESHOLD`` or more.
    members of a bucket.  Buckets with the same members are handled once.
 4. Members fetch their shingles; inside a bucket exact Jaccard is computed and
    only links that span the bucket's components leave the task.  Buckets over
-   ``BUCKET_ROWS`` members are dealt to pairs of blocks, which covers every pair.
+   ``BUCKET_ROWS`` members or ``BUCKET_BYTES`` of shingles are dealt to pairs of blocks,
+   which covers every pair.
 5. Links form components; in each the first paragraph (smallest document, then
    place) stays and the others are removals.
 
 Defined cases: null text has no paragraphs, nor are wordless lines any; a null doc_id sorts last; rows with the
-same doc_id are told apart by nothing but their text; repeated rows are copies; empty
+same doc_id, or none, are told apart by their text alone; repeated rows are copies; empty
 input gives an empty result; extra columns are never read.
 """
 
@@ -41,6 +42,8 @@ THRESHOLD = 0.8
 RECALL = 0.999
 BAND_ROWS = 3
 BUCKET_ROWS = 5_000
+BUCKET_BYTES = 32 << 20  # of shingles, eight bytes each
+BATCH_SHINGLES = 1 << 20  # hashed or handed on at a time (one paragraph may have more)
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -81,30 +84,35 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int = BAND_ROWS) -> np
     return out
 
 
-_LINES = "d long, place int, p binary, bands array<long>"
+_LINES = "d long, place int, tag long, p binary, bands array<long>"
 
 
 def signed(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
-    """(d, place, p, bands) of every paragraph that has a shingle; p: its hash."""
+    """(d, place, tag, p, bands) of every paragraph that has a shingle; p: its hash."""
+    rows, sets, n = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        hashed = band_hashes(sets, bands).view(np.int64)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(hashed.ravel()), bands).cast(pa.list_(pa.int64()))
+        docs, places, tags, names = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(tags, pa.int64()), pa.array(names, pa.binary()), lists],
+            names=["d", "place", "tag", "p", "bands"],
+        )
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            docs, places, names, sets = [], [], [], []
-            for d, raw in zip(part.column(0).to_pylist(), part.column(1)):
-                for place, line in enumerate((raw.as_py() or b"").split(b"\n")):
-                    grams = shingles(line)
-                    if len(grams):
-                        docs.append(d)
-                        places.append(place)
-                        names.append(name_of(line))
-                        sets.append(grams)
-            if sets:
-                hashed = band_hashes(sets, bands).view(np.int64)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(hashed.ravel()), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(names, pa.binary()), lists],
-                    names=["d", "place", "p", "bands"],
-                )
+        for d, raw, tag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for place, line in enumerate((raw.as_py() or b"").split(b"\n")):
+                grams = shingles(line)
+                if len(grams):
+                    rows.append((d, place, tag, name_of(line)))
+                    sets.append(grams)
+                    n += len(grams)
+                    if n >= BATCH_SHINGLES or len(rows) >= 20_000:
+                        yield out()
+                        rows, sets, n = [], [], 0
+    if rows:
+        yield out()
 
 
 def name_of(line: bytes) -> bytes:
@@ -172,12 +180,23 @@ def spanning(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return found
 
 
-def _verify(batches: Iterator[pa.RecordBatch], key: str, threshold: float) -> Iterator[pa.RecordBatch]:
-    for _, table in complete_groups(batches, key, 2**62, block=20_000):
+_FOUND = "a binary, b binary, heavy long, weight long"
+
+
+def _verify(batches: Iterator[pa.RecordBatch], key: str, threshold: float, limit_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) inside the groups; a group over ``limit_bytes`` leaves member by member
+    as (a, null, its key, number of shingles)."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("heavy", pa.int64()), ("weight", pa.int64())])
+    for whole, table in complete_groups(batches, key, 2**62, block=20_000, block_bytes=BUCKET_BYTES, limit_bytes=limit_bytes):
         keys = table.column(key).to_numpy()
-        p = table.column("p").to_pylist()
         lists = table.column("grams").combine_chunks()
-        flat, cuts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        cuts = lists.offsets.to_numpy()
+        if not whole:
+            p = table.column("p").combine_chunks()
+            yield pa.RecordBatch.from_arrays([p, pa.nulls(len(p), pa.binary()), pa.array(keys), pa.array(np.diff(cuts).astype(np.int64))], schema=schema)
+            continue
+        p = table.column("p").to_pylist()
+        flat = lists.values.to_numpy().view(np.uint64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         a, b = [], []
         for lo, hi in zip(starts, np.r_[starts[1:], len(keys)]):
@@ -186,7 +205,8 @@ def _verify(batches: Iterator[pa.RecordBatch], key: str, threshold: float) -> It
                 a.append(p[lo + i])
                 b.append(p[lo + j])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), none, none], schema=schema)
 
 
 _GRAMS = "p binary, grams array<long>"
@@ -194,45 +214,56 @@ _GRAMS = "p binary, grams array<long>"
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of the wanted lines of a document."""
+
+    def out(names: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["p", "grams"]
+        )
+
+    names, sets, n = [], [], 0
     for batch in batches:
-        names, sets = [], []
         for raw, places in zip(batch.column(0), batch.column(1).to_pylist()):
             lines = (raw.as_py() or b"").split(b"\n")
             for place in places:
-                if place < len(lines):
-                    names.append(name_of(lines[place]))
-                    sets.append(shingles(lines[place]).view(np.int64))
-        offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-        values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["p", "grams"]
-        )
-
-
-def paragraph_links(lines: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS) -> DataFrame:
+                names.append(name_of(lines[place]))
+                sets.append(shingles(lines[place]).view(np.int64))
+                n += len(sets[-1])
+                if n >= BATCH_SHINGLES:
+                    yield out(names, sets)
+                    names, sets, n = [], [], 0
+    if names:
+        yield out(names, sets)
+
+
+def paragraph_links(
+    lines: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, limit: int = BUCKET_ROWS, limit_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """``(a, b)`` between distinct paragraphs; they span every component of the graph
-    of all colliding pairs at ``threshold``.  ``lines``: p, bands, first (d, place);
-    ``texts(d, raw)``."""
+    of all colliding pairs at ``threshold``.  ``lines``: p, bands, first (d, place, tag);
+    ``texts(d, raw, tag)``, the tag a hash of the text."""
     rows = lines.select("p", F.posexplode("bands").alias("i", "h")).select(F.xxhash64("i", "h").alias("band"), "p")
     sorted_rows = rows.repartition("band").sortWithinPartitions("band")
     met = stored(sorted_rows.mapInArrow(lambda it: _collide(it, limit), _MEMBERS), "collisions")
     members = stored(met.distinct(), "members")
-    wanted = lines.join(members.select("p").distinct(), "p").select("p", "first.d", "first.place")
-    places = wanted.groupBy("d").agg(F.collect_list("place").alias("places"))
-    grams = texts.join(places, "d").select("raw", "places").mapInArrow(_grams, _GRAMS)
-    # Rows with the same doc_id may bring other lines along: only wanted ones stay.
-    grams = stored(grams.join(wanted.select("p"), "p", "left_semi").dropDuplicates(["p"]), "grams")
-    full = members.join(grams, "p")
-
-    def links(rows: DataFrame, key: str) -> DataFrame:
-        dealt = rows.select(key, "p", "grams").repartition(key).sortWithinPartitions(key)
-        return dealt.mapInArrow(lambda it: _verify(it, key, threshold), "a binary, b binary")
+    wanted = lines.join(members.select("p").distinct(), "p").select("p", "first.d", "first.tag", "first.place")
+    places = wanted.groupBy("d", "tag").agg(F.collect_list("place").alias("places"))
+    # Rows that repeat a document as it is bring the same lines again: one of each stays.
+    grams = texts.join(places, ["d", "tag"]).select("raw", "places").mapInArrow(_grams, _GRAMS)
+    grams = stored(grams.dropDuplicates(["p"]), "grams")
 
-    found = links(full.where("n > 1"), "bucket")
-    dense = members.where("n = -1")
-    if not dense.isEmpty():
-        pairs = block_pairs(dense.select("bucket", "p"), "bucket", "p", limit // 2)
-        found = found.unionByName(links(pairs.join(grams, "p"), "pair"))
+    def links(rows: DataFrame, key: str, most: int) -> DataFrame:
+        dealt = rows.select(key, "p", "grams").repartition(key).sortWithinPartitions(key)
+        return dealt.mapInArrow(lambda it: _verify(it, key, threshold, most), _FOUND)
+
+    found = stored(links(members.where("n > 1").join(grams, "p"), "bucket", limit_bytes), "bucket-links")
+    dense = members.where("n = -1").select("bucket", "p")
+    heavy = found.where("heavy IS NOT NULL").select(F.col("heavy").alias("bucket"), F.col("a").alias("p"), "weight")
+    found = found.where("heavy IS NULL").select("a", "b")
+    if not (dense.isEmpty() and heavy.isEmpty()):
+        weighed = dense.join(grams.select("p", F.size("grams").cast("long").alias("weight")), "p").unionByName(heavy)
+        pairs = block_pairs(weighed, "bucket", "p", max(limit // 2, 1), "weight", max(limit_bytes // 16, 1))
+        found = found.unionByName(links(pairs.join(grams, "p"), "pair", 2**62).select("a", "b"))
     return stored(found.distinct(), "paragraph-links")
 
 
@@ -241,9 +272,9 @@ def near_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     (its line, from 0), component_id (smallest doc_id of the component), n_paragraphs
     (of the component), removed (all but the first)."""
     bands = tune_bands(threshold, recall)
-    texts = docs.select(real_id().alias("d"), body().alias("raw"))
+    texts = docs.select(real_id().alias("d"), body().alias("raw"), F.xxhash64(body()).alias("tag"))
     rows = texts.mapInArrow(lambda it: signed(it, bands), _LINES)
-    place = F.struct("d", "place")
+    place = F.struct("d", "place", "tag")
     lines = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("bands").alias("bands"))
     lines = stored(lines, "paragraphs")
     links = paragraph_links(lines, texts, threshold)

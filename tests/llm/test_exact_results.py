@@ -121,5 +121,5 @@ def test_groups_over_the_limits(spark, middle, awkward):
 
 def test_paragraph_buckets_over_the_limit(monkeypatch, awkward):
     want = sorted(paragraphs.near_paragraphs(awkward).collect())
-    monkeypatch.setattr(paragraphs.paragraph_links, "__defaults__", (paragraphs.THRESHOLD, 4))
+    monkeypatch.setattr(paragraphs.paragraph_links, "__defaults__", (paragraphs.THRESHOLD, 4, paragraphs.BUCKET_BYTES))
     assert sorted(paragraphs.near_paragraphs(awkward).collect()) == want
