@@ -1,8 +1,9 @@
 """Second-order gradient boosting on the long sparse matrix, with leaf penalties.
 
-Binary logistic loss, trees grown level by level.  A level's histograms are one
-``groupBy(node, feature, bin)`` of gradient and hessian sums over the stored cells
-(combined before the shuffle); what the cells of a feature leave of a node's sums
+Binary logistic loss, trees grown level by level.  A level's histograms are gradient and
+hessian sums for each (node, feature, bin) over the stored cells: every task sums its rows'
+cells and deals the sums by feature, and the task of a feature finds its best split of
+each node.  What the cells of a feature leave of a node's sums
 belongs to its implicit zeros, which each split sends to the better side (a default
 direction, as for missing values).  With G, H the sums of a side, L2 penalty
 ``reg_lambda`` and L1 penalty ``reg_alpha``:
@@ -25,11 +26,14 @@ not improved for so many rounds, so ``best + patience`` rounds are trained.  Onl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featsift.operators.matrix import WideMatrix
@@ -37,6 +41,7 @@ from featsift.operators.ranking import sequence_by
 from featsift.session import remove, scratch_path
 
 LEAST_GAIN = 1e-6
+TASK_CELLS = 1 << 20  # stored cells of a task's rows, about
 MAX_DEPTH = 14  # a tree's 2^depth splits are literals of a plan
 
 # Names of the reference's parameters and ours, where they differ.
@@ -118,14 +123,6 @@ def weight_of(tree: Tree) -> Column:
     return F.get(F.expr(weights), node_of(tree))
 
 
-def _soft(g: Column, alpha: float) -> Column:
-    return F.signum(g) * F.greatest(F.abs(g) - F.lit(alpha), F.lit(0.0))
-
-
-def _score(g: Column, h: Column, p: BoostParams) -> Column:
-    return _soft(g, p.reg_alpha) * _soft(g, p.reg_alpha) / (h + F.lit(p.reg_lambda))
-
-
 def _drawn(key: Column, share: float, seed: int, round_: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(round_)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
 
@@ -164,15 +161,16 @@ def binned_rows(m: WideMatrix, features: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- one tree
 
 
-def grow(cells: DataFrame, totals: tuple[float, float], p: BoostParams, round_: int = 0) -> Tree:
-    """One tree over ``cells(g, h, f, b)`` of the drawn rows; ``totals``: sums of g and h."""
+def grow(cells: DataFrame, totals: tuple[float, float], p: BoostParams, round_: int = 0, parts: int = 8) -> Tree:
+    """One tree over ``cells(g, h, f, b)`` of the drawn rows; ``totals``: sums of g and h;
+    ``parts``: tasks that the features are dealt to."""
     tree, sums = Tree(), {1: totals}
     for depth in range(p.max_depth):
         first = 1 << depth
         here = [n for n in sums if n >= first]
         if not here:
             break
-        found = _best_splits(cells, tree, depth, {n: sums[n] for n in here}, p, round_).collect()  # one row a node
+        found = _best_splits(cells, tree, depth, {n: sums[n] for n in here}, p, round_, parts).collect()  # one row a node
         for r in found:
             if -r.best.loss <= LEAST_GAIN or -r.best.loss < p.gamma:
                 continue
@@ -184,35 +182,113 @@ def grow(cells: DataFrame, totals: tuple[float, float], p: BoostParams, round_:
     return tree
 
 
-def _best_splits(cells: DataFrame, tree: Tree, depth: int, sums: dict, p: BoostParams, round_: int) -> DataFrame:
+def _nodes(tree: Tree, depth: int, f: np.ndarray, b: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """``node_of`` for ``n`` rows whose cells (feature, bin, row) lie one after another."""
+    feature, cut, left = np.full(2 << depth, -1), np.zeros(2 << depth, dtype=np.int64), np.zeros(2 << depth, dtype=bool)
+    for k, (j, bin_, zeros_left) in tree.splits.items():
+        if k < len(feature):
+            feature[k], cut[k], left[k] = j, bin_, zeros_left
+    node = np.ones(n, dtype=np.int64)
+    for _ in range(depth):
+        hit = np.flatnonzero(feature[node][owner] == f)[::-1]
+        right = ~left[node]
+        right[owner[hit]] = b[hit] > cut[node[owner[hit]]]  # the first of equal features is set last
+        node = np.where(feature[node] >= 0, 2 * node + right, node)
+    return node
+
+
+def _summed(keys: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order with their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[starts], *(np.add.reduceat(x[order], starts) if len(keys) else x for x in (g, h))
+
+
+_SUMS = "part int, keys binary, g binary, h binary"
+
+
+def _histograms(batches: Iterator[pa.RecordBatch], tree: Tree, depth: int, bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Sums of g and h for each (feature, node, bin) of a batch of rows, dealt by feature."""
     first = 1 << depth
-    at = F.col("node") - first
-    of = lambda i: F.get(F.expr(_array((f"{sums.get(n, (0.0, 0.0))[i]!r}D" for n in range(first, 2 * first)), "double")), at)
-    reached = cells.select(node_of(tree, depth).alias("node"), "g", "h", F.arrays_zip("f", "b").alias("cells")).where(F.col("node") >= first)
-    each = reached.select("node", "g", "h", F.explode("cells").alias("c")).select("node", "g", "h", F.col("c.f").alias("feature"), F.col("c.b").alias("bin"))
+    for batch in batches:
+        f, b, g, h = (batch.column(batch.schema.get_field_index(c)) for c in "fbgh")
+        sizes = np.asarray(f.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        f, b = f.flatten().to_numpy().astype(np.int64), b.flatten().to_numpy()
+        node = _nodes(tree, depth, f, b, owner, len(sizes))
+        used = node[owner] >= first
+        at = batch.schema.get_field_index("drawn")
+        if at >= 0:
+            used &= batch.column(at).flatten().to_numpy(zero_copy_only=False)
+        f, b, owner = f[used], b[used].astype(np.int64), owner[used]
+        g, h = (np.nan_to_num(x.to_numpy(zero_copy_only=False))[owner] for x in (g, h))
+        keys, g, h = _summed(((f << depth | (node[owner] - first)) << bits) | b, g, h)
+        part = (keys >> (depth + bits)) % parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(part) else [0]
+        dealt = [order[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(part[i[0]]) for i in dealt], pa.int32()), *(pa.array([x[i].tobytes() for i in dealt], pa.binary()) for x in (keys, g, h))],
+            names=["part", "keys", "g", "h"],
+        )
+
+
+_SPLITS = "node int, loss double, feature int, bin int, zeros_left boolean, g double, h double"
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], sums: dict, depth: int, bits: int, p: BoostParams) -> Iterator[pa.RecordBatch]:
+    """The best split of each node among the features of a task."""
+    first, held = 1 << depth, [[], [], []]
+    for batch in batches:
+        for got, column, kind in zip(held, ("keys", "g", "h"), (np.int64, np.float64, np.float64)):
+            raw = batch.column(batch.schema.get_field_index(column))
+            got += [np.frombuffer(x.as_buffer(), dtype=kind) for x in raw]
+    if not held[0]:
+        return
+    keys, g, h = _summed(*map(np.concatenate, held))
+    group = keys >> bits
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    for k in range(1, int(sizes.max())):  # running sums over the bins of each (feature, node)
+        at = starts[sizes > k] + k
+        g[at] += g[at - 1]
+        h[at] += h[at - 1]
+    last = np.repeat(starts + sizes - 1, sizes)
+    node = (group & (first - 1)).astype(np.int64)
+    both = np.array([sums.get(n, (0.0, 0.0)) for n in range(first, 2 * first)])[node]
+    zero_g, zero_h = both[:, 0] - g[last], both[:, 1] - h[last]
+    soft = lambda v: np.sign(v) * np.maximum(np.abs(v) - p.reg_alpha, 0.0)
+    score = lambda a, b: soft(a) * soft(a) / (b + p.reg_lambda)
+    least, tried = max(p.min_child_weight, 1e-9), []
+    for left, a, b in ((False, g, h), (True, g + zero_g, h + zero_h)):
+        # Sums in another order differ in their last digits.
+        fits = np.flatnonzero((_rounded(b, 9) >= least) & (_rounded(both[:, 1] - b, 9) >= least))
+        a, b, all_g, all_h, of = a[fits], b[fits], both[fits, 0], both[fits, 1], node[fits]
+        loss = -_rounded(score(a, b) + score(all_g - a, all_h - b) - score(all_g, all_h), 8)
+        best = np.full(first, np.inf)
+        np.minimum.at(best, of, loss)
+        kept = np.flatnonzero(loss == best[of])
+        kept = kept[np.unique(of[kept], return_index=True)[1]]  # keys ascend: the smallest feature and bin
+        key = keys[fits[kept]]
+        tried += zip((of[kept] + first).tolist(), loss[kept].tolist(), (key >> (depth + bits)).tolist(), (key & ((1 << bits) - 1)).tolist(),
+                     [left] * len(kept), a[kept].tolist(), b[kept].tolist())
+    if tried:
+        kinds = (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tried), kinds)], names=[x.split()[0] for x in _SPLITS.split(", ")])
+
+
+def _best_splits(cells: DataFrame, tree: Tree, depth: int, sums: dict, p: BoostParams, round_: int, parts: int) -> DataFrame:
+    bits = int(p.max_bins).bit_length()
     if p.colsample_bytree < 1:
-        each = each.where(_drawn(F.col("feature"), p.colsample_bytree, p.seed + 1, round_))
-    bins = each.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    whole = Window.partitionBy("node", "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both_g, both_h = of(0), of(1)
-    stepped = bins.select(
-        "node", "feature", "bin", F.sum("g").over(upto).alias("g"), F.sum("h").over(upto).alias("h"),
-        (both_g - F.sum("g").over(whole)).alias("zero_g"), (both_h - F.sum("h").over(whole)).alias("zero_h"),
-    )
-    side = lambda left: F.struct(
-        F.lit(left).alias("zeros_left"),
-        (F.col("g") + (F.col("zero_g") if left else 0.0)).alias("g"), (F.col("h") + (F.col("zero_h") if left else 0.0)).alias("h"),
-    )
-    tried = stepped.select("node", "feature", "bin", F.explode(F.array(side(False), side(True))).alias("s"))
-    g, h = F.col("s.g"), F.col("s.h")
-    rest_g, rest_h = both_g - g, both_h - h
-    gain = _score(g, h, p) + _score(rest_g, rest_h, p) - _score(both_g, both_h, p)
-    least = F.lit(max(p.min_child_weight, 1e-9))
-    # Sums in another order differ in their last digits.
-    fits = (F.round(h, 9) >= least) & (F.round(rest_h, 9) >= least)
-    best = F.struct((-F.round(gain, 8)).alias("loss"), "feature", "bin", F.col("s.zeros_left").alias("zeros_left"), g.alias("g"), h.alias("h"))
-    return tried.where(fits).groupBy("node").agg(F.min(best).alias("best"))
+        cells = cells.withColumn("drawn", F.transform("f", lambda j: _drawn(j, p.colsample_bytree, p.seed + 1, round_)))
+    sent = cells.drop("row_id").mapInArrow(lambda it: _histograms(it, tree, depth, bits, 4 * parts), _SUMS)
+    found = sent.repartition(parts, "part").mapInArrow(lambda it: _chosen(it, sums, depth, bits, p), _SPLITS)
+    return found.groupBy("node").agg(F.min(F.struct("loss", "feature", "bin", "zeros_left", "g", "h")).alias("best"))
 
 
 # ---------------------------------------------------------------- the loop
@@ -291,8 +367,11 @@ def fit(m: WideMatrix, params: BoostParams, valid: DataFrame | None = None, pati
         binned_rows(m, features).write.mode("overwrite").parquet(f"{path}/rows")
         rows.withColumn("margin", F.lit(0.0)).write.mode("overwrite").parquet(f"{path}/margins/round=000000")
     features = spark.read.parquet(f"{path}/features")
-    # Dealt by row once; each round's margins come to it.
-    base = spark.read.parquet(f"{path}/rows").repartition("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # Dealt by row and sorted once; each round's margins come to it.
+    base = spark.read.parquet(f"{path}/rows")
+    stored = base.agg(F.sum(F.size("f").cast("long"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-stored // TASK_CELLS))
+    base = base.repartition(parts, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         while len(trees) < p.rounds and not (patience and losses and _waited(losses)[1] >= patience):
             t = len(trees) + 1
@@ -302,7 +381,7 @@ def fit(m: WideMatrix, params: BoostParams, valid: DataFrame | None = None, pati
                 drawn = drawn.where(_drawn(F.col("row_id"), p.subsample, p.seed, t))
             steps = _gradients(drawn)
             totals = steps.agg(F.coalesce(F.sum("g"), F.lit(0.0)), F.coalesce(F.sum("h"), F.lit(0.0))).first()
-            tree = grow(base.join(steps, "row_id"), tuple(totals), p, t)
+            tree = grow(base.join(steps, "row_id"), tuple(totals), p, t, parts)
             moved = base.join(margins, "row_id").select("row_id", "y", "part", (F.col("margin") + weight_of(tree)).alias("margin"))
             moved.write.mode("overwrite").parquet(f"{path}/margins/round={t:06d}")
             losses.append(_losses(spark.read.parquet(f"{path}/margins/round={t:06d}")))

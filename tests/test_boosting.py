@@ -115,3 +115,28 @@ def test_values_not_seen_in_training(spark):
     )
     got = {r.row_id: r.p for r in B.predict(model, new).collect()}
     assert len(got) == 3 and got[2] == got[3] and all(0 < p < 1 for p in got.values())
+
+
+def test_a_task_sends_summed_bins_not_cells(spark):
+    import pyarrow as pa
+
+    rows = 50
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0.5] * rows), pa.array([0.25] * rows), pa.array([[3, 7]] * rows, pa.list_(pa.int32())), pa.array([[0, 1]] * rows, pa.list_(pa.int32()))],
+        names=["g", "h", "f", "b"],
+    )
+    sent = [b.to_pylist() for b in B._histograms(iter([batch]), B.Tree(), 0, 7, 4)]
+    keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.int64) for r in sent[0]])
+    sums = np.concatenate([np.frombuffer(r["g"]) for r in sent[0]])
+    assert sorted(zip(keys.tolist(), sums.tolist())) == [(3 << 7, 25.0), (7 << 7 | 1, 25.0)]
+
+
+def test_nodes_equal_the_expression(spark):
+    rng = np.random.default_rng(9)
+    tree = B.Tree(splits={1: (2, 0, False), 2: (0, 1, True), 3: (5, 0, True), 6: (1, 0, False)})
+    cells = [sorted((int(j), int(rng.integers(0, 3))) for j in rng.choice(6, rng.integers(0, 6), replace=False)) for _ in range(80)] + [[(2, 0), (2, 1)]]
+    df = spark.createDataFrame([(i, [j for j, _ in c], [b for _, b in c]) for i, c in enumerate(cells)], "row_id int, f array<int>, b array<int>")
+    want = {r.row_id: r.n for r in df.select("row_id", B.node_of(tree).alias("n")).collect()}
+    flat = [(j, b, i) for i, c in enumerate(cells) for j, b in c]
+    f, b, owner = (np.array(x) for x in zip(*flat))
+    assert B._nodes(tree, 3, f, b, owner, len(cells)).tolist() == [want[i] for i in range(len(cells))]
