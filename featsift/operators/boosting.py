@@ -31,6 +31,7 @@ from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -222,7 +223,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], tree: Tree, depth: int, bits:
         if at >= 0:
             used &= batch.column(at).flatten().to_numpy(zero_copy_only=False)
         f, b, owner = f[used], b[used].astype(np.int64), owner[used]
-        g, h = (np.nan_to_num(x.to_numpy(zero_copy_only=False))[owner] for x in (g, h))
+        g, h = (pc.fill_null(x, 0.0).to_numpy()[owner] for x in (g, h))
         keys, g, h = _summed(((f << depth | (node[owner] - first)) << bits) | b, g, h)
         part = (keys >> (depth + bits)) % parts
         order = np.argsort(part, kind="stable")
