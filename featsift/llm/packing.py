@@ -17,7 +17,7 @@ are merged only where they are too small to fill a run.
 
 Ids come from the tokenizer word by word: its normaliser and pattern never look across
 a space or a line feed, so a text is cut there and each distinct word is encoded once
-in a task.
+in a worker process, which keeps up to about ``REMEMBERED`` words from task to task.
 
 Defined cases: a null text is empty, an empty text is its end token alone; null and
 repeated doc_ids are rows of their own; ties in cost go to the earlier row and the
@@ -27,9 +27,11 @@ columns are never read.
 
 from __future__ import annotations
 
+import os
 import string
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ END = 1
 LINEAR, QUADRATIC = 4096, 1  # cost of a piece: LINEAR * n + QUADRATIC * n * n
 RUN_TOKENS = 1_500_000  # tokens packed together, about
 RUN_BYTES = 4_000_000  # a partition should hold so much text
-REMEMBERED = 1_000_000  # words remembered by a task
+REMEMBERED = 1_000_000  # words remembered by a worker process
 _AT_ONCE = 10_000  # runs of letters encoded in one call
 _CHARS = 6_000_000  # text tokenized in one go
 
@@ -102,6 +104,17 @@ class Words:
             yield b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def _words_of(path: str, changed: int, size: int) -> Words:
+    return Words(path)
+
+
+def shared_words(path: str) -> Words:
+    """The ``Words`` of a tokenizer file that this worker process keeps for its tasks."""
+    at = os.stat(path)
+    return _words_of(path, at.st_mtime_ns, at.st_size)
+
+
 def cost(n, linear: int = LINEAR, quadratic: int = QUADRATIC):
     return linear * n + quadratic * n * n
 
@@ -143,7 +156,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, linear: int = LIN
     end = np.array([END], dtype="<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequences = Words(path), TaskContext.get().partitionId() << 32
+        words, sequences = shared_words(path), TaskContext.get().partitionId() << 32
 
         def run(held: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
             nonlocal sequences
