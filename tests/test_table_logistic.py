@@ -151,3 +151,43 @@ def test_dropped_columns_leave_whether_hot_or_not(spark):
     left = drop_features(m, gone).entries
     assert left.where("feature_id IN ('the', 't7')").count() == 0
     assert left.count() == rows.count() - 501
+
+
+# ---------------------------------------------------------------- blocks of rows
+
+
+def test_an_evaluation_sends_blocks_not_cells(spark):
+    """Sums of an evaluation: the loss and gradient of numpy, over several blocks, with
+    repeated and null row ids; what is sent is one number a block, not one a cell."""
+    rng = np.random.default_rng(5)
+    cells = [(r, n, float(v), float(r % 2)) for r in range(40) for n, v in zip(range(0, 6), [1.0, *rng.normal(size=5)])]
+    cells += [(None, 0, 1.0, 0.0), (None, 0, 1.0, 1.0), (3, 0, 1.0, 0.0), (3, 2, None, 0.0)]
+    df = spark.createDataFrame(cells, "row_id long, number long, value double, label double").repartition(2, "row_id").sortWithinPartitions("row_id")
+    stored = df.mapInArrow(lambda it: TL._blocks(it, 25), TL._BLOCKS).collect()
+    blocks = spark.createDataFrame(stored, TL._BLOCKS)
+    needs = spark.createDataFrame([(b.block, i, n) for b in stored for i, n in enumerate(b.numbers)], "block long, code int, number long")
+    assert len(stored) > 2 and needs.count() < len(cells) / 2
+    w, d = rng.normal(size=6), rng.normal(size=6)
+    weights = spark.createDataFrame([(i, float(w[i]), float(d[i])) for i in range(6)], "number long, w double, d double")
+    got = dict(TL._evaluate(blocks.drop("numbers"), needs, weights, 6).collect())
+    zw, zd = {}, {}
+    for r, n, v, _ in cells:
+        zw[r], zd[r] = zw.get(r, 0) + (v or 0) * w[n], zd.get(r, 0) + (v or 0) * d[n]
+    for i, t in enumerate((0.0, *TL.STEPS)):
+        z = [(zw[r] + t * zd[r], y) for r, n, _, y in cells if n == 0]
+        assert abs(got[-1 - i] - sum(np.logaddexp(0, m) - y * m for m, y in z)) < 1e-9
+    for j in range(6):
+        assert abs(got[j] - sum((v or 0) * (1 / (1 + np.exp(-zw[r] - zd[r])) - y) for r, n, v, y in cells if n == j)) < 1e-9
+
+
+def test_a_fit_reads_no_window_over_cells(spark, monkeypatch):
+    plans, evaluate = [], TL._evaluate
+
+    def seen(*args):
+        out = evaluate(*args)
+        plans.append(out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(TL, "_evaluate", seen)
+    TL.fit(sparse(spark, n=30, d=4)[0], max_iter=1)
+    assert plans and all("Window" not in x and "CoGroup" in x for x in plans)
