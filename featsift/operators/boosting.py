@@ -1,9 +1,12 @@
 """Second-order gradient boosting on the long sparse matrix, with leaf penalties.
 
 Binary logistic loss, trees grown level by level.  A level's histograms are gradient and
-hessian sums for each (node, feature, bin) over the stored cells: every task sums its rows'
+hessian sums for each (node, feature, bin) over the stored cells.  Up to ``DRIVER_ROWS``
+rows with ids of their own, cells are dealt by feature once: a task finds the best split of
+each node among its features without a shuffle and tells which rows go right by it, and the
+driver holds each row's margin and node.  Else every task sums its rows'
 cells and deals the sums by feature, and the task of a feature finds its best split of
-each node.  What the cells of a feature leave of a node's sums
+each node.  The trees are the same.  What the cells of a feature leave of a node's sums
 belongs to its implicit zeros, which each split sends to the better side (a default
 direction, as for missing values).  With G, H the sums of a side, L2 penalty
 ``reg_lambda`` and L1 penalty ``reg_alpha``:
@@ -17,32 +20,34 @@ Equal gains (to eight decimals) go to the smaller feature, then the smaller bin,
 zeros to the right.  ``subsample`` draws rows and ``colsample_bytree`` columns by hash
 for each tree.
 
-Training is a loop that can be resumed: after each round the margins of train and valid
-rows and then the tree with its losses are written under ``path``; a run finds what is
-there and goes on.  With ``patience`` it stops as soon as the loss on the valid rows has
-not improved for so many rounds, so ``best + patience`` rounds are trained.  Only splits
-(at most ``2^depth`` a level) and sums reach the driver.
+Training is a loop that can be resumed: after each round the tree with its losses (with
+cells dealt by row, the margins of train and valid rows before it) is written under ``path``;
+a run finds what is there and goes on.  With ``patience`` it stops as soon as the loss on the valid rows has
+not improved for so many rounds, so ``best + patience`` rounds are trained.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featsift.operators import sparse_boosting as SB
 from featsift.operators.matrix import WideMatrix
 from featsift.operators.ranking import sequence_by
 from featsift.session import remove, scratch_path
 
 LEAST_GAIN = 1e-6
 TASK_CELLS = 1 << 20  # stored cells of a task's rows, about
+DRIVER_ROWS = 1 << 23  # rows whose labels, margins and nodes the driver holds
 MAX_DEPTH = 14  # a tree's 2^depth splits are literals of a plan
 
 # Names of the reference's parameters and ours, where they differ.
@@ -244,18 +249,26 @@ def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
 
 def _chosen(batches: Iterator[pa.RecordBatch], sums: dict, depth: int, bits: int, p: BoostParams) -> Iterator[pa.RecordBatch]:
     """The best split of each node among the features of a task."""
-    first, held = 1 << depth, [[], [], []]
+    held = [[], [], []]
     for batch in batches:
         for got, column, kind in zip(held, ("keys", "g", "h"), (np.int64, np.float64, np.float64)):
             raw = batch.column(batch.schema.get_field_index(column))
             got += [np.frombuffer(x.as_buffer(), dtype=kind) for x in raw]
     if not held[0]:
         return
-    keys, g, h = _summed(*map(np.concatenate, held))
-    group = keys >> bits
+    tried = _tried(*_summed(*map(np.concatenate, held)), sums, depth, bits, p)
+    if tried:
+        kinds = (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tried), kinds)], names=[x.split()[0] for x in _SPLITS.split(", ")])
+
+
+def _tried(keys: np.ndarray, g: np.ndarray, h: np.ndarray, sums: dict, depth: int, bits: int, p: BoostParams) -> list[tuple]:
+    """(node, loss, feature, bin, zeros go left, sums of the left) of the best split of each
+    node, with the zeros on either side, by the sums of stored cells."""
+    first, group = 1 << depth, keys >> bits
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    for k in range(1, int(sizes.max())):  # running sums over the bins of each (feature, node)
+    for k in range(1, int(sizes.max(initial=0))):  # running sums over the bins of each (feature, node)
         at = starts[sizes > k] + k
         g[at] += g[at - 1]
         h[at] += h[at - 1]
@@ -278,9 +291,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], sums: dict, depth: int, bits: int
         key = keys[fits[kept]]
         tried += zip((of[kept] + first).tolist(), loss[kept].tolist(), (key >> (depth + bits)).tolist(), (key & ((1 << bits) - 1)).tolist(),
                      [left] * len(kept), a[kept].tolist(), b[kept].tolist())
-    if tried:
-        kinds = (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*tried), kinds)], names=[x.split()[0] for x in _SPLITS.split(", ")])
+    return tried
 
 
 def _best_splits(cells: DataFrame, tree: Tree, depth: int, sums: dict, p: BoostParams, round_: int, parts: int) -> DataFrame:
@@ -292,6 +303,168 @@ def _best_splits(cells: DataFrame, tree: Tree, depth: int, sums: dict, p: BoostP
     return found.groupBy("node").agg(F.min(F.struct("loss", "feature", "bin", "zeros_left", "g", "h")).alias("best"))
 
 
+# ---------------------------------------------------------------- whole features in a task
+
+
+def _hashed(keys: np.ndarray, *more: int | np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(key, *more)`` for ints, from ``xxhash64(key)``."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    x = keys.astype(np.int64).view(np.uint64)
+    for k in more:
+        x = x + five + np.uint64(4) ^ np.asarray(k, dtype=np.int64).astype(np.uint32).astype(np.uint64) * one
+        x = (x << np.uint64(23) | x >> np.uint64(41)) * two + three
+        x = (x ^ x >> np.uint64(33)) * two
+        x = (x ^ x >> np.uint64(29)) * three
+        x = x ^ x >> np.uint64(32)
+    return x.view(np.int64)
+
+
+def _kept(keys: np.ndarray, share: float, seed: int, round_: int) -> np.ndarray:
+    """``_drawn`` for rows or columns whose ``xxhash64`` is known."""
+    return _hashed(keys, seed, round_) % 1_000_000 < int(share * 1_000_000)
+
+
+_BLOCKS = "block long, rows int, codes binary, ends binary, owner binary, state binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of a batch of rows sorted by (feature, bin), as in ``sparse_boosting``; with
+    them label, margin and hash of each row."""
+    part = SB.TaskContext.get().partitionId()
+    for made, batch in enumerate(batches):
+        f, b, y, margin, key = (batch.column(batch.schema.get_field_index(c)) for c in ("f", "b", "y", "margin", "key"))
+        owner = np.repeat(np.arange(len(f), dtype=np.int32), f.value_lengths().to_numpy(zero_copy_only=False))
+        code = f.flatten().to_numpy().astype(np.int64) << SB.BITS | b.flatten().to_numpy()
+        order = np.argsort(code, kind="stable")
+        codes, n = np.unique(code, return_counts=True)
+        state = np.r_[y.to_numpy(zero_copy_only=False).astype(np.float64), margin.to_numpy(), key.to_numpy().view(np.float64)]
+        packed = (x.tobytes() for x in (codes, np.cumsum(n), owner[order], state))
+        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | made], pa.int64()), pa.array([len(f)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)],
+                                         names=[x.split()[0] for x in _BLOCKS.split(", ")])
+
+
+@dataclass(frozen=True)
+class _Level:
+    """``spot``: the place of each row's node in ``nodes``, or -1; ``used``: drawn rows."""
+
+    depth: int
+    round: int
+    nodes: np.ndarray
+    sums: dict
+    spot: np.ndarray
+    used: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+
+
+def _searched(chunks: Iterator, level: _Level, p: BoostParams) -> Iterator[tuple]:
+    """The best split of each node among a chunk's features, and which rows go right by it."""
+    for chunk in chunks:
+        k, first = len(level.nodes), 1 << level.depth
+        of = np.where(level.used, level.spot, -1)[chunk.owner]
+        kept = of >= 0
+        if p.colsample_bytree < 1:
+            drawn = _kept(_hashed(np.full(len(chunk.columns), 42), chunk.columns), p.colsample_bytree, p.seed + 1, level.round)
+            kept &= drawn[chunk.column_of][chunk.of]
+        kept = np.flatnonzero(kept)
+        slot = chunk.of[kept].astype(np.int64) * k + of[kept]
+        g, h = (x[chunk.owner[kept]] for x in (level.g, level.h))
+        if len(chunk.codes) * k <= 8 * len(slot) + 1024:
+            n, g, h = np.bincount(slot), np.bincount(slot, weights=g), np.bincount(slot, weights=h)
+            slot = np.flatnonzero(n)
+            g, h = g[slot], h[slot]
+        else:
+            slot, g, h = _summed(slot, g, h)
+        keys = SB._level_key(chunk.codes[slot // k], (level.nodes - first)[slot % k], level.depth)
+        best: dict[int, tuple] = {}
+        for n, *split in _tried(*_summed(keys, g, h), level.sums, level.depth, SB.BITS, p):
+            best[n] = min(best.get(n, (np.inf,)), tuple(split))
+        if not best:
+            continue
+        nodes = np.array(sorted(best))
+        places = np.searchsorted(level.nodes, nodes).tolist()
+        zeros = np.zeros(k, dtype=bool)
+        zeros[places] = [not best[n][3] for n in nodes.tolist()]
+        right = zeros[level.spot]
+        for place, n in zip(places, nodes.tolist()):
+            _, feature, bin_, *_ = best[n]
+            lo, hi = np.searchsorted(chunk.codes, (feature << SB.BITS, (feature + 1) << SB.BITS))
+            cells = slice(int(chunk.ends[lo - 1]) if lo else 0, int(chunk.ends[hi - 1]))
+            cells = np.flatnonzero(level.spot[chunk.owner[cells]] == place)[::-1] + cells.start  # the first of equal features is set last
+            right[chunk.owner[cells]] = (chunk.codes[chunk.of[cells]] & ((1 << SB.BITS) - 1)) > bin_
+        yield best, np.packbits(right)
+
+
+class _Columns:
+    """The rows' state on the driver and their cells in chunks of whole features."""
+
+    def __init__(self, base: DataFrame, rows: DataFrame, trees: list[Tree], p: BoostParams, path: str, stored: int):
+        spark, y, margin, key, begins, frames, self.fitted = base.sparkSession, [], [], [], [], [], 0
+        moved = F.lit(0.0)
+        for tree in trees:
+            moved = moved + weight_of(tree)
+        for part in ("train", "valid"):
+            these = base.join(rows.where(F.col("part") == part), "row_id").select("f", "b", "y", moved.alias("margin"), F.xxhash64("row_id").alias("key"))
+            these.mapInArrow(_blocks, _BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks-{part}")
+            frames.append(spark.read.schema(_BLOCKS).parquet(f"{path}/blocks-{part}"))
+            got = frames[-1].select("block", "rows", "state").toArrow().sort_by("block")  # 24 bytes a row
+            begins.append(dict(zip(got["block"].to_pylist(), sum(map(len, y)) + np.cumsum([0, *got["rows"].to_pylist()]))))
+            for x in got["state"]:
+                for held, values in zip((y, margin, key), np.frombuffer(x.as_buffer(), np.float64).reshape(3, -1)):
+                    held.append(values)
+            self.fitted = self.fitted or sum(map(len, y))
+        self.p, self.y, self.margin, self.key = p, np.concatenate([*y, []]), np.concatenate([*margin, []]), np.concatenate([*key, []]).view(np.int64)
+        chunks = max(spark.sparkContext.defaultParallelism, -(-stored // SB.CHUNK_CELLS))
+        dealt = [f.select("block", "codes", "ends", "owner").mapInArrow(partial(SB._dealt, begins=b, chunks=chunks), "chunk int, codes binary, sizes binary, owner binary")
+                 for f, b in zip(frames, begins)]
+        self.pieces = spark.sparkContext.union([d.rdd for d in dealt]).map(lambda r: (r[0], (r[1], r[2], r[3]))).partitionBy(chunks, int)
+        # A row's hessian is at most 1/4: fewer cells never reach the least of a child.
+        least = max(1, int(np.ceil(4 * p.min_child_weight - 1e-6)))
+        self.chunks: RDD = self.pieces.coalesce(chunks).mapPartitions(partial(SB._chunks, fitted=self.fitted, least=least)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.chunks.unpersist()
+        self.pieces._jrdd.rdd().cleanShuffleDependencies(False)
+
+    def round(self, t: int) -> tuple[Tree, dict[str, float]]:
+        """The tree of round ``t`` and the losses after it."""
+        p, tree = self.p, Tree()
+        q = 1.0 / (1.0 + np.exp(np.clip(-self.margin, None, 700)))
+        g, h = q - self.y, q * (1.0 - q)
+        used = np.arange(len(g)) < self.fitted
+        if p.subsample < 1:
+            used &= _kept(self.key, p.subsample, p.seed, t)
+        sums, node = {1: (float(g[used].sum()), float(h[used].sum()))}, np.ones(len(g), dtype=np.int32)
+        for depth in range(p.max_depth):
+            first = 1 << depth
+            nodes = np.array(sorted(n for n in sums if n >= first), dtype=np.int64)
+            if not len(nodes):
+                break
+            place = np.full(2 * first, -1, dtype=np.int32)
+            place[nodes] = np.arange(len(nodes))
+            spot = place[node]
+            level = _Level(depth, t, nodes, {n: sums[n] for n in nodes.tolist()}, spot, used, g, h)
+            got = self.chunks.mapPartitions(partial(_searched, level=level, p=p)).collect()  # a row a node and a bit a row from each chunk
+            goes = np.full(len(nodes), -1)  # whose bits move the rows of each place
+            for n in nodes.tolist():
+                best, i = min(((found[n], i) for i, (found, _) in enumerate(got) if n in found), default=((np.inf,), -1))
+                if -best[0] <= LEAST_GAIN or -best[0] < p.gamma:
+                    continue
+                loss, feature, bin_, zeros_left, a, b = best
+                tree.splits[n], tree.gains[n], goes[place[n]] = (feature, bin_, zeros_left), -loss, i
+                sums[2 * n], sums[2 * n + 1] = (a, b), (sums[n][0] - a, sums[n][1] - b)
+            by = np.where(spot >= 0, goes[spot], -1)
+            for i in np.unique(by[by >= 0]).tolist():
+                mine = by == i
+                node[mine] = 2 * node[mine] + np.unpackbits(got[i][1], count=len(node))[mine]
+        tree.weights = {n: _leaf_weight(*s, p) for n, s in sums.items() if n not in tree.splits}
+        weights = np.zeros(max(tree.weights) + 1)
+        weights[list(tree.weights)] = list(tree.weights.values())
+        self.margin = self.margin + weights[node]
+        loss = np.logaddexp(0.0, self.margin * (1.0 - 2.0 * self.y))
+        return tree, {part: float(x.mean()) for part, x in (("train", loss[:self.fitted]), ("valid", loss[self.fitted:])) if len(x)}
+
+
 # ---------------------------------------------------------------- the loop
 
 
@@ -368,10 +541,22 @@ def fit(m: WideMatrix, params: BoostParams, valid: DataFrame | None = None, pati
         binned_rows(m, features).write.mode("overwrite").parquet(f"{path}/rows")
         rows.withColumn("margin", F.lit(0.0)).write.mode("overwrite").parquet(f"{path}/margins/round=000000")
     features = spark.read.parquet(f"{path}/features")
-    # Dealt by row and sorted once; each round's margins come to it.
     base = spark.read.parquet(f"{path}/rows")
     stored = base.agg(F.sum(F.size("f").cast("long"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-stored // TASK_CELLS))
+    n, own = rows.agg(F.count(F.lit(1)), F.count_distinct("row_id")).first()
+    if 0 < n <= DRIVER_ROWS and n == own and p.max_bins < 1 << SB.BITS:
+        columns = _Columns(base, rows, trees, p, path, stored)
+        try:
+            while len(trees) < p.rounds and not (patience and losses and _waited(losses)[1] >= patience):
+                tree, loss = columns.round(len(trees) + 1)
+                _store_tree(spark, path, len(trees) + 1, tree, loss)
+                trees.append(tree)
+                losses.append(loss)
+        finally:
+            columns.release()
+        return _boosted(p, trees, features, losses, valid, path)
+    # Dealt by row and sorted once; each round's margins come to it.
     base = base.repartition(parts, "row_id").sortWithinPartitions("row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         while len(trees) < p.rounds and not (patience and losses and _waited(losses)[1] >= patience):
@@ -392,6 +577,10 @@ def fit(m: WideMatrix, params: BoostParams, valid: DataFrame | None = None, pati
                 remove(spark, f"{path}/margins/round={t - 2:06d}")
     finally:
         base.unpersist()
+    return _boosted(p, trees, features, losses, valid, path)
+
+
+def _boosted(p: BoostParams, trees: list[Tree], features: DataFrame, losses: list[dict[str, float]], valid: DataFrame | None, path: str) -> Boosted:
     best = _waited(losses)[0] if valid is not None and losses and "valid" in losses[0] else len(trees)
     curve = [(i + 1, part, loss[part]) for i, loss in enumerate(losses) for part in sorted(loss)]
     return Boosted(p, trees, features, curve, best, path)

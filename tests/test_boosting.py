@@ -140,3 +140,33 @@ def test_nodes_equal_the_expression(spark):
     flat = [(j, b, i) for i, c in enumerate(cells) for j, b in c]
     f, b, owner = (np.array(x) for x in zip(*flat))
     assert B._nodes(tree, 3, f, b, owner, len(cells)).tolist() == [want[i] for i in range(len(cells))]
+
+
+@pytest.mark.parametrize("ints", [(), (42, 7), (43, -3)])
+def test_hashes_are_those_of_spark(spark, ints):
+    from pyspark.sql import functions as F
+
+    df = spark.range(50).select("id", F.col("id").cast("int").alias("i"))
+    rows = df.select("id", F.xxhash64("id").alias("one"), F.xxhash64("id", *map(F.lit, ints)).alias("all"), F.xxhash64("i", *map(F.lit, ints)).alias("int")).collect()
+    assert B._hashed(np.array([r.one for r in rows]), *ints).tolist() == [r["all"] for r in rows]
+    assert B._hashed(np.full(50, 42), np.array([r.id for r in rows]), *ints).tolist() == [r["int"] for r in rows]
+
+
+@pytest.mark.parametrize("changes", [dict(subsample=0.7, colsample_bytree=0.6, min_child_weight=2.0), dict(max_depth=5, min_child_weight=0.0)])
+def test_whole_features_give_the_trees_of_rows(spark, monkeypatch, changes):
+    m, _, _ = table(spark, 6, n=150)
+    valid = m.rows.where("row_id % 4 = 0").select("row_id")
+    p = B.BoostParams(**{**dict(rounds=4, learning_rate=0.4, max_depth=3, gamma=0.05, reg_alpha=0.1), **changes})
+    monkeypatch.setattr(B.SB, "CHUNK_CELLS", 100)
+    here = B.fit(m, p, valid)
+    monkeypatch.setattr(B, "DRIVER_ROWS", 0)
+    there = B.fit(m, p, valid)
+    shape = lambda model: [(t.splits, {n: round(w, 9) for n, w in t.weights.items()}) for t in model.trees]
+    assert shape(here) == shape(there)
+    assert np.allclose([x[2] for x in here.curve], [x[2] for x in there.curve], atol=1e-9)
+
+
+def test_a_level_shuffles_nothing(spark, monkeypatch):
+    m, _, _ = table(spark, 7)
+    monkeypatch.setattr(B, "_histograms", None)
+    assert len(B.fit(m, B.BoostParams(rounds=2, max_depth=3)).trees) == 2
