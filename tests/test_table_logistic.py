@@ -191,3 +191,19 @@ def test_a_fit_reads_no_window_over_cells(spark, monkeypatch):
     monkeypatch.setattr(TL, "_evaluate", seen)
     TL.fit(sparse(spark, n=30, d=4)[0], max_iter=1)
     assert plans and all("Window" not in x and "CoGroup" in x for x in plans)
+
+
+def test_evaluations_of_held_weights_join_nothing(spark, monkeypatch):
+    m, x, y = sparse(spark, n=60, d=5)
+    want = weights_of(TL.fit(m, tol=1e-6))
+    evaluate, calls = TL._evaluate, []
+    monkeypatch.setattr(TL, "_evaluate", lambda *args: calls.append(1) or evaluate(*args))
+    monkeypatch.setattr(TL, "BLOCK_CELLS", 20)
+    monkeypatch.setattr(TL, "WRITTEN", 2)
+    path = scratch_path(spark, "held")
+    model = TL.fit(m, tol=1e-6, path=path)
+    got = weights_of(model)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-6
+    assert len(calls) == 1 < model.steps  # the first state
+    states = [k for k in range(model.steps + 1) if TL._read(spark, f"{path}/state-{k}") is not None]
+    assert states == [model.steps]  # older ones are gone
