@@ -430,7 +430,8 @@ class _Columns:
         """The tree of round ``t`` and the losses after it."""
         p, tree = self.p, Tree()
         q = 1.0 / (1.0 + np.exp(np.clip(-self.margin, None, 700)))
-        g, h = q - self.y, q * (1.0 - q)
+        known = ~np.isnan(self.y)  # a null label has no gradient and no loss
+        g, h = np.where(known, q - self.y, 0.0), q * (1.0 - q)
         used = np.arange(len(g)) < self.fitted
         if p.subsample < 1:
             used &= _kept(self.key, p.subsample, p.seed, t)
@@ -461,8 +462,9 @@ class _Columns:
         weights = np.zeros(max(tree.weights) + 1)
         weights[list(tree.weights)] = list(tree.weights.values())
         self.margin = self.margin + weights[node]
-        loss = np.logaddexp(0.0, self.margin * (1.0 - 2.0 * self.y))
-        return tree, {part: float(x.mean()) for part, x in (("train", loss[:self.fitted]), ("valid", loss[self.fitted:])) if len(x)}
+        loss = np.logaddexp(0.0, self.margin * (1.0 - 2.0 * np.where(known, self.y, 0.0)))
+        parts = {"train": slice(self.fitted), "valid": slice(self.fitted, None)}
+        return tree, {part: float(loss[at][known[at]].mean()) for part, at in parts.items() if known[at].any()}
 
 
 # ---------------------------------------------------------------- the loop

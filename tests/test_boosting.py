@@ -170,3 +170,17 @@ def test_a_level_shuffles_nothing(spark, monkeypatch):
     m, _, _ = table(spark, 7)
     monkeypatch.setattr(B, "_histograms", None)
     assert len(B.fit(m, B.BoostParams(rounds=2, max_depth=3)).trees) == 2
+
+
+def test_null_labels_count_as_before(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    m, _, _ = table(spark, 8)
+    m = WideMatrix(m.entries, m.rows.withColumn("label", F.when(F.col("row_id") % 7 != 0, F.col("label"))))
+    valid = m.rows.where("row_id % 4 = 0").select("row_id")
+    p = B.BoostParams(rounds=3, max_depth=3, min_child_weight=0.5)
+    here = B.fit(m, p, valid)
+    monkeypatch.setattr(B, "DRIVER_ROWS", 0)
+    there = B.fit(m, p, valid)
+    assert [t.splits for t in here.trees] == [t.splits for t in there.trees] and here.trees[0].splits
+    assert np.allclose([x[2] for x in here.curve], [x[2] for x in there.curve], atol=1e-9)
