@@ -207,3 +207,13 @@ def test_evaluations_of_held_weights_join_nothing(spark, monkeypatch):
     assert len(calls) == 1 < model.steps  # the first state
     states = [k for k in range(model.steps + 1) if TL._read(spark, f"{path}/state-{k}") is not None]
     assert states == [model.steps]  # older ones are gone
+
+
+def test_other_models_score_after_a_fit(spark, monkeypatch):
+    monkeypatch.setattr(TL, "BROADCAST_ROWS", 3)  # every state is a table
+    m, x, y = sparse(spark, n=40, d=4)
+    TL.fit(m, max_iter=2)
+    index = m.columns.select("feature_id", F.substring("feature_id", 2, 9).cast("int").alias("new_index"))
+    vectors = to_vectors(gather(m, index, bound_rows=5), 5)
+    model = MD.logistic_regression(40, max_iter=5).fit(vectors)
+    assert MD.score(model, vectors, ["row_id"]).count() == len(MD.score(model, vectors, ["row_id"]).collect()) == 40
